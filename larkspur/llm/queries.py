@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_round_trip
 from .common import documents
+from .media import media_columns
 from .ngram_join import ngram_jaccard_join
 
 
@@ -14,8 +16,17 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir), size=4, percent=85)
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir))
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+    own = [op3_ngram_jaccard_join, op8_media_columns, op10_bpe_round_trip]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
