@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +35,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package where PYTHONPATH doesn't already: Spark serves it to them as an archive."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in on_path or getattr(sc, "_larkspur_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="larkspur-code-"), "larkspur.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "larkspur").rglob("*.py")):
+            z.write(f, str(f.relative_to(root)))
+    sc.addPyFile(str(archive))
+    sc._larkspur_shipped = True
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = ARROW_ROWS) -> DataFrame:
+    """mapInArrow with batches of at most `rows` rows."""
+    ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """One output batch for each input batch, in bounded memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def narrow(docs: DataFrame, *cols: str) -> DataFrame:

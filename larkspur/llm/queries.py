@@ -10,12 +10,22 @@ from .bpe import bpe_round_trip
 from .common import documents
 from .media import media_columns
 from .ngram_join import ngram_jaccard_join
+from .quality import quality
+from .toxicity import toxicity
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir), size=4, percent=85)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
@@ -25,7 +35,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_ngram_jaccard_join, op8_media_columns, op10_bpe_round_trip]
+    own = [op3_ngram_jaccard_join, op4_toxicity, op7_quality_rules, op8_media_columns, op10_bpe_round_trip]
     return {f.__name__: f for f in own}
 
 
