@@ -6,10 +6,11 @@ How a pair of similar texts is brought together, at any size:
 2. A text of n shingles keeps its n - ceil(t n) + 1 rarest ones; two texts of similarity t or more share one of
    those. Rarity is read from a sketch of fixed size (counts of hash buckets over all texts). Any fixed order is
    correct; rarest first keeps passages that very many texts share out of the lists.
-3. Each kept shingle names as pivot the smallest text that keeps it. A text joins the group of each of its pivots.
-   So a linked pair meets in the group of the shingle that it shares, and a thousand near copies meet in a few
-   groups rather than in one for each shingle.
-4. A group is searched in blocks of bounded size, each with the pivot: every member is a query against the block's
+3. Each list of texts that keep a shingle gives pairs of a text and a pivot (list_pairs), after length and positional
+   filters. A text joins the group of each of its pivots. So a linked pair meets in a group of the first shingle that
+   it shares, and a thousand near copies meet in a few groups rather than in one for each shingle.
+4. A group is searched in blocks of bounded size, each with the pivot. Members whose bitmaps rule out every other one
+   leave first, and the texts of the rest are fetched. Then every member is a query against the block's
    inverted lists. The longest lists are left aside, the short ones are heap-merged, and whoever reaches
    T - (lists left aside) is probed by binary search in these. Members that are already connected are not compared.
 5. Groups of several blocks get a second round: members that aren't yet connected with the pivot are queries
@@ -19,23 +20,25 @@ How a pair of similar texts is brought together, at any size:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import merge
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import shingles, word_hashes
-from .common import checkpoint, map_arrow, narrow, raw_texts
+from .common import checkpoint, map_arrow, map_batches, narrow, raw_texts
 from .components import connected_components
 
 #: Counters of the frequency sketch.
 SKETCH = 1 << 16
 #: Members of a group that one task holds at a time.
-BLOCK = 512
+BLOCK = 2048
+#: Texts of a list up to which its pairs are looked at one by one.
+FEW = 8
 #: The cost factor by which DivideSkip chooses how many lists to leave aside.
 MU = 0.01
 #: Longer merges are counted with bincount, which gives the same counts as the heap.
@@ -47,11 +50,58 @@ def ceil_share(n, percent: int):
     return -(-percent * n // 100)
 
 
+def ceil_div(a, b: int):
+    return -(-a // b)
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct shingles of a text whose A-Z are lower-cased."""
     return np.unique(shingles(word_hashes(text, lower=True), size))
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """About half a bit for each token: the parity of the tokens that fall on it. A power of two of bits, 64 or more."""
+    size = max(64, 1 << (len(own) // 2).bit_length())
+    places = ((own >> np.uint64(16)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(rows: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) of half as many bits."""
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
+
+
+def in_reach(bits: list[bytes], sizes: np.ndarray, labels: np.ndarray, asks: np.ndarray, percent: int) -> np.ndarray:
+    """Which members may link with another one of another label, one of the two being a query.
+
+    The bitmap filter: where b bits of two bitmaps differ, b tokens at least are in one set only.
+    """
+    alive = np.zeros(len(bits), bool)
+    widths = np.array([len(b) // 8 for b in bits])
+    for width in np.unique(widths):
+        mine, wider = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+        rows = np.frombuffer(b"".join([bits[k] for k in mine]), np.uint64).reshape(len(mine), width)
+        if len(wider):
+            rows = np.concatenate([rows, folded(np.frombuffer(b"".join([bits[k] for k in wider]), np.uint64).reshape(len(wider), 2 * width))])
+        who = np.concatenate([mine, wider])
+        order = np.argsort(sizes[who], kind="stable")
+        rows, who = rows[order], who[order]
+        n = sizes[who]
+        ends = np.searchsorted(n, 100 * n // percent, side="right")
+        for k, x in enumerate(who.tolist()):
+            near = slice(k + 1, int(ends[k]))
+            others = who[near]
+            if not len(others):
+                continue
+            most = (n[k] + n[near] - np.bitwise_count(rows[near] ^ rows[k]).sum(1, dtype=np.int64)) // 2
+            ok = (100 * most >= percent * (n[k] + n[near] - most)) & (labels[others] != labels[x]) & (asks[others] | asks[x])
+            if ok.any():
+                alive[x] = True
+                alive[others[ok]] = True
+    return alive
+
+
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """In how many texts the shingles of each hash bucket stand: SKETCH counters, whatever the size of the input."""
 
@@ -64,31 +114,32 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["bucket", "n"])
 
     out = np.zeros(SKETCH, np.int64)
-    for row in docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for row in map_batches(docs.select("text"), count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[row.bucket] = row.n
     return out
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (shingles), digest (of the word sequence; null without words), prefix (its rarest shingles)."""
+    """doc_id, n (shingles), digest (of the word sequence; null without words), bits (bitmap), prefix (its rarest shingles)."""
     rarity = frequency_sketch(docs, size)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ns, digests, kept, sizes = [], [], [], [0]
+        ns, digests, bits, kept, sizes = [], [], [], [], [0]
         for text in raw_texts(batch):
             words = word_hashes(text, lower=True)
             own = np.unique(shingles(words, size))
             ns.append(len(own))
             digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None)
+            bits.append(bitmap(own))
             k = len(own) - ceil_share(len(own), percent) + 1 if len(own) else 0
             order = np.argsort(rarity[(own & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:k]
             kept.append(own[order])
             sizes.append(sizes[-1] + k)
         flat = np.concatenate(kept).view(np.int64)
-        arrays = [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "prefix"])
+        arrays = [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "bits", "prefix"])
 
-    return map_arrow(docs.select("doc_id", "text"), sign, "doc_id bigint, n bigint, digest binary, prefix array<bigint>")
+    return map_arrow(docs.select("doc_id", "text"), sign, "doc_id bigint, n bigint, digest binary, bits binary, prefix array<bigint>")
 
 
 class Links:
@@ -161,53 +212,147 @@ def divide_skip(sets: list[np.ndarray], percent: int, labels: list[int] | None =
     return links.made
 
 
-def search_blocks(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """members (pivot, block, doc_id, label, query) -> links (a, b) found inside each (pivot, block)."""
-    held = members.join(docs, "doc_id").repartition("pivot", "block").sortWithinPartitions("pivot", "block", "doc_id")
+MEMBER = "pivot bigint, block int, doc_id bigint, label bigint, query boolean"
+MEMBERS = ["pivot", "block", "doc_id", "label", "query"]
 
-    def found(group: list[tuple]) -> list[tuple[int, int]]:
-        ids, labels, asks, own = zip(*group, strict=True)
-        sets = [shingle_set(t or b"", size) for t in own]
-        asking = [k for k, q in enumerate(asks) if q]
-        pairs = divide_skip(sets, percent, list(labels), None if len(asking) == len(ids) else asking)
-        return [(ids[a], ids[b]) for a, b in pairs]
+
+def by_block(rows: DataFrame, columns: list[str], found: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Run found() on the rows of each (pivot, block), which are at most about BLOCK, and give the rows that it returns."""
+    held = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "doc_id")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
 
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        def out(made: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.bool_() if x.endswith("boolean") else pa.int32() if x.endswith("int") and not x.endswith("bigint") else pa.int64() for x in schema.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)], names)
 
         for batch in batches:
-            pairs: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("pivot", "block", "doc_id", "label", "query")]
-            for pivot, block, *rest, text in zip(*columns, raw_texts(batch), strict=True):
-                if (pivot, block) != key:
+            made: list[tuple] = []
+            cols = [batch.column(c).cast(pa.binary()).to_pylist() if c == "text" else batch.column(c).to_pylist() for c in columns]
+            for row in zip(*cols, strict=True):
+                if row[:2] != key:
                     if len(group) > 1:
-                        pairs += found(group)
-                    key, group = (pivot, block), []
-                group.append((*rest, text))
-            yield out(pairs)
+                        made += found(group)
+                    key, group = row[:2], []
+                group.append(row)
+            yield out(made)
         if len(group) > 1:
             yield out(found(group))
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return held.select("pivot", "block", "doc_id", "label", "query", "text").mapInArrow(run, "a bigint, b bigint")
+    return map_batches(held.select(*columns), run, schema)
+
+
+def search_blocks(members: DataFrame, own: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """members (pivot, block, doc_id, label, query) -> links (a, b) found inside each (pivot, block).
+
+    Texts are fetched only for members that the bitmap filter lets through.
+    """
+
+    def alive(group: list[tuple]) -> list[tuple]:
+        _, _, _, labels, asks, n, bits = zip(*group, strict=True)
+        keep = in_reach(list(bits), np.array(n), np.array(labels), np.array(asks), percent)
+        return [row[:5] for row, k in zip(group, keep.tolist(), strict=True) if k]
+
+    def found(group: list[tuple]) -> list[tuple]:
+        _, _, ids, labels, asks, texts = zip(*group, strict=True)
+        sets = [shingle_set(t or b"", size) for t in texts]
+        asking = [k for k, q in enumerate(asks) if q]
+        pairs = divide_skip(sets, percent, list(labels), None if len(asking) == len(ids) else asking)
+        return [(ids[a], ids[b]) for a, b in pairs]
+
+    left = checkpoint(by_block(members.join(own.select("doc_id", "n", "bits"), "doc_id"), [*MEMBERS, "n", "bits"], alive, MEMBER))
+    return by_block(left.join(docs.select("doc_id", "text"), "doc_id"), [*MEMBERS, "text"], found, "a bigint, b bigint")
+
+
+def list_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """tokens (token, doc_id, n, at: the token's place in the text's order) -> (doc_id, pivot), distinct.
+
+    Of the tokens that a linked pair shares, one comes first in the order; after it, both texts must still hold enough
+    tokens to reach the required overlap (the positional filter). A list of few texts gives the pairs that pass. A longer
+    one is cut into bands of similar n, in which the first text is the pivot of all others; bands overlap, so that
+    a linked pair has one in common. A list is read as a stream and never held.
+    """
+    held = tokens.repartition("token").sortWithinPartitions("token", "n", "doc_id")
+    width = -np.log(percent / 100) * 1.001
+
+    def reach(n, at, m):
+        """Can a text of n tokens, with `at` tokens before the shared one, overlap enough with one of m tokens?"""
+        return 100 * (n - at) >= ceil_div(100 * percent * (n + m), 100 + percent)
+
+    def few(token, doc, n, at, runs, short):
+        """Pairs in lists of at most FEW texts; short marks their rows."""
+        out = []
+        for k in range(1, FEW):
+            x = np.flatnonzero(short[:-k] & (runs[k:] == runs[:-k])) if len(runs) > k else np.zeros(0, int)
+            y = x + k
+            x_y = reach(n[x], at[x], n[y]) & reach(n[y], at[y], n[x]) & (100 * n[x] >= percent * n[y]) & (doc[x] != doc[y])
+            out.append((doc[y[x_y]], doc[x[x_y]]))
+        return out
+
+    def many(doc, n, at, firsts):
+        """Each text of a long list with the pivots of its bands; firsts: those known so far."""
+        bands = (np.log(n) / width).astype(int)
+        out = []
+        for b in np.unique(bands).tolist():
+            mine = bands == b
+            firsts.setdefault(b, int(doc[mine][0]))
+            may = mine & reach(n, at, ceil_share(n, percent))
+            for g in (b, b - 1):
+                if g in firsts:
+                    out.append((doc[may & (doc != firsts[g])], firsts[g]))
+        return [(d, np.full(len(d), f)) for d, f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 4
+        long_token, firsts = None, {}
+
+        def pairs(cols, last):
+            nonlocal kept, long_token, firsts
+            token, doc, n, at = cols
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            lengths = np.diff(np.append(starts, len(token)))
+            out, hold = [], len(token)
+            for s, size in zip(starts[lengths > FEW].tolist(), lengths[lengths > FEW].tolist(), strict=True):
+                if token[s] != long_token:
+                    long_token, firsts = token[s], {}
+                out += many(doc[s : s + size], n[s : s + size], at[s : s + size], firsts)
+            if not last and lengths[-1] <= FEW and token[-1] != long_token:  # it may go on in the next batch
+                hold = int(starts[-1])
+            runs = np.repeat(np.arange(len(starts)), lengths)
+            short = np.repeat((lengths > 1) & (lengths <= FEW), lengths)
+            short[hold:] = False
+            if lengths[0] <= FEW and token[0] == long_token:  # the rest of a long list
+                out += many(doc[: lengths[0]], n[: lengths[0]], at[: lengths[0]], firsts)
+                short[: lengths[0]] = False
+            kept = [c[hold:] for c in cols]
+            return out + few(token, doc, n, at, runs, short)
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in range(2)], ["doc_id", "pivot"])
+
+        for batch in batches:
+            cols = [np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, ("token", "doc_id", "n", "at"), strict=True)]
+            if len(cols[0]):
+                yield batch_of(pairs(cols, False))
+        if len(kept[0]):
+            yield batch_of(pairs(kept, True))
+
+    return map_batches(held, run, "doc_id bigint, pivot bigint", 100_000).distinct()
 
 
 def representative_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect the representatives of all similar classes."""
-    own = signed.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    tokens = own.select("doc_id", F.explode("prefix").alias("token"))
-    pivot = F.first("doc_id").over(Window.partitionBy("token").orderBy("doc_id"))
-    joined = checkpoint(tokens.select("doc_id", pivot.alias("pivot")).where("doc_id <> pivot").distinct())
+    own = signed.where("digest is not null").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    tokens = own.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    joined = checkpoint(list_pairs(tokens.select("token", "doc_id", "n", "at"), percent))
     blocks = joined.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wide = blocks.where("blocks > 1")
     placed = joined.join(wide, "pivot", "left").select("pivot", F.expr("cast(pmod(xxhash64(doc_id), coalesce(blocks, 1)) as int)").alias("block"), "doc_id")
     pivots = blocks.select("pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("pivot").alias("doc_id"))
     members = placed.unionByName(pivots)
-    texts = docs.select("doc_id", "text")
-    links = checkpoint(search_blocks(members.select("*", F.col("doc_id").alias("label"), F.lit(True).alias("query")), texts, size, percent))
+    links = checkpoint(search_blocks(members.select("*", F.col("doc_id").alias("label"), F.lit(True).alias("query")), own, docs, size, percent))
     wide = checkpoint(wide)
     if wide.isEmpty():
         return links
@@ -223,7 +368,7 @@ def representative_links(docs: DataFrame, signed: DataFrame, classes: DataFrame,
     again = checkpoint(again)
     if again.isEmpty():
         return links
-    return links.unionByName(checkpoint(search_blocks(again, texts, size, percent)))
+    return links.unionByName(checkpoint(search_blocks(again, own, docs, size, percent)))
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
