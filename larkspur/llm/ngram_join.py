@@ -388,3 +388,17 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         signed.select("doc_id", "n", "digest").join(named, "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     )
+
+
+def drop_near_copies(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """The table with one row for each component of linked documents: that of its smallest doc_id.
+
+    Wordless documents are linked with nothing and stay. Of rows that repeat a doc_id one stays. Rows without a doc_id stay.
+    """
+    found = ngram_jaccard_join(docs, size, percent)
+    copies = checkpoint(found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct())
+    out = docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("`count` > 1")
+    if repeated.isEmpty():
+        return out
+    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))

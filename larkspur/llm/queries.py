@@ -8,12 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import documents
+from .licenses import license_scan
 from .media import media_columns
+from .mixing import mixing_report
 from .ngram_join import ngram_jaccard_join
+from .pii import pii_scan
 from .quality import quality
+from .secrets import secret_scan
+from .sharding import shard_by_bytes
 from .toxicity import toxicity
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(documents(spark, sf_dir), shards=8)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir), size=4, percent=85)
 
@@ -22,6 +35,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
+def op6_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
@@ -30,12 +51,19 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_report(documents(spark, sf_dir))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_ngram_jaccard_join, op4_toxicity, op7_quality_rules, op8_media_columns, op10_bpe_round_trip]
+    own = [
+        op1_sharding, op2_secret_scan, op3_ngram_jaccard_join, op4_toxicity, op5_license_scan,
+        op6_pii_scan, op7_quality_rules, op8_media_columns, op9_mixing, op10_bpe_round_trip,
+    ]
     return {f.__name__: f for f in own}
 
 

@@ -224,6 +224,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     return train([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], clean_weight)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The table without the documents whose score reaches the threshold of their language; other rows stay as they are."""
+    model = fit(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((model.projection(), model.bias, model.out, model.offset, model.thresholds))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        projection, bias, out, offset, thresholds = sent.value
+        own = Model(None, None, bias, out, offset, thresholds)
+        languages = batch.column("lang").to_pylist()
+        clean = [own.score(t, projection) < thresholds.get(lang, 0.5) for t, lang in zip(raw_texts(batch), languages, strict=True)]
+        return batch.filter(pa.array(clean, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((model.projection(), model.bias, model.out, model.offset))  # about 3 MB
