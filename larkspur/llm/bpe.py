@@ -14,7 +14,6 @@ import heapq
 import json
 import re
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import map_arrow, narrow, texts
 
 #: Entries that a worker's caches of encoded pieces hold before they start anew.
-CACHE = 300_000
+CACHE = 600_000
 #: Beyond these ranges regular-expression libraries differ about letters; such texts are split by the tokenizers library.
 EXOTIC = regex.compile(r"[^\x00-ɏͰ-ͷΑ-ΡΣ-ϿЀ-ԯḀ-ỿ -⁤₠-₿぀-ゖ゠-ヿ一-龥가-힣]")
 #: Texts of these letters need no Unicode classes: the standard library's faster engine splits them alike.
@@ -72,9 +71,7 @@ class ByteBpe:
             valid[m] = ok and valid.get(a, True) and valid.get(b, True)
         #: Tokens that merging makes of their own bytes; only these are proposed.
         self.proposed = {b: i for b, i in self.id_of.items() if valid.get(i, True)}
-        self.longest: dict[bytes, int] = {}
-        for b in self.proposed:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
+        self._grow()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces: dict[str, str] = {}
 
@@ -112,16 +109,53 @@ class ByteBpe:
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self._unbroken(a, b, np.full(len(a), NONE, np.int64))
 
-    def propose(self, word: bytes) -> list[int]:
-        """The longest token at each position."""
-        out, at, n, tokens, longest = [], 0, len(word), self.proposed, self.longest
-        while at < n:
-            size = min(n - at, longest.get(word[at : at + 2], 1))
-            while (t := tokens.get(word[at : at + size])) is None:
-                size -= 1
-            out.append(t)
-            at += size
-        return out
+    def _grow(self) -> None:
+        """The proposable tokens as a trie: sorted keys (node << 8 | byte), the node that each leads to, its token or -1."""
+        step: dict[int, int] = {}
+        token = [-1]
+        for word, i in self.proposed.items():
+            node = 0
+            for b in word:
+                node = step.setdefault(node << 8 | b, len(step) + 1)
+                if node == len(token):
+                    token.append(-1)
+            token[node] = i
+        self.steps = np.array(sorted(step), np.int64)
+        self.leads = np.array([step[k] for k in self.steps.tolist()], np.int64)
+        self.token = np.array(token, np.int64)
+        self.from_root = np.array([step[b] for b in range(256)], np.int64)
+
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token at each position, for all words at once: token ids in order, and where each word's end."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        buf = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        ends = np.cumsum(lengths)
+        at = ends - lengths
+        found = np.full(len(buf), -1, np.int64)  # the token that begins at each byte
+        live = np.flatnonzero(lengths)
+        start, at, stop = at[live], at[live], ends[live]
+        node = np.zeros(len(live), np.int64)
+        best, after = np.full(len(live), -1, np.int64), start.copy()
+        while len(start):
+            root = node == 0
+            key = node << 8 | buf[at]
+            k = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            goes = (self.steps[k] == key) & (at < stop)
+            node = np.where(goes, self.leads[k], 0)
+            node[root] = self.from_root[buf[at[root]]]
+            goes |= root
+            at = np.where(goes, at + 1, at)
+            token = self.token[node]
+            better = goes & (token >= 0)
+            best, after = np.where(better, token, best), np.where(better, at, after)
+            cut = ~goes
+            found[start[cut]] = best[cut]
+            start, at = np.where(cut, after, start), np.where(cut, after, at)
+            on = ~cut | (start < stop)
+            if not on.all():
+                start, at, stop, node, best, after = start[on], at[on], stop[on], node[on], best[on], after[on]
+        places = np.flatnonzero(found >= 0)
+        return found[places], np.searchsorted(places, ends)
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: the pair of the lowest rank first, of equal ones the leftmost."""
@@ -161,13 +195,15 @@ class ByteBpe:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word, as merging yields them."""
-        out = [self.propose(w) for w in words]
-        flat = np.fromiter(chain.from_iterable(out), np.int64)
-        ends = np.cumsum([len(x) for x in out]) if out else np.zeros(0, np.int64)
+        if not words:
+            return []
+        flat, ends = self.propose(words)
         inner = np.ones(max(len(flat) - 1, 0), bool)
-        inner[ends[:-1][ends[:-1] > 0] - 1] = False
+        inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(flat))] - 1] = False
         at = np.flatnonzero(inner)
         failing = at[~self.compatible(flat[at], flat[at + 1])] if len(at) else at
+        ids, bounds = flat.tolist(), [0, *ends.tolist()]
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
         for k in np.unique(np.searchsorted(ends, failing, side="right")).tolist():
             out[k] = self.merged(words[k])
         return out
