@@ -1,4 +1,4 @@
-"""Every query of the feature engine by name, with its SQL."""
+"""Every query of the feature engine by name, with the SQL that DuckDB runs on the same tables."""
 
 from __future__ import annotations
 
@@ -8,10 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import feature_queries, sequence_queries, store_queries, stream_queries  # noqa: F401
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
