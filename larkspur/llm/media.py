@@ -1,8 +1,7 @@
 """MPEG audio columns: a reader that resynchronises, and a writer that carries bytes in valid, silent frames.
 
-Reading: ID3v2 and ID3v1 tags are skipped and noted, frame headers are found again after damage (a header counts if a
-matching header or the end follows its frame), a Xing or Info table of the first frame is parsed, frame checksums
-(CRC-16) are verified, and exact durations and the byte offset of every frame are kept.
+Reading: ID3v2 and ID3v1 tags are skipped and noted, frame headers are found again after damage (see resumes),
+a Xing or Info table of the first frame is parsed, frame checksums (CRC-16) are verified, and exact durations and the byte offset of every frame are kept.
 
 Writing: MPEG-1 Layer III, 48 kHz, mono. The side information says that no granule has any coded bits, so a player hears
 silence; 576 bytes of payload follow in each frame as ancillary data, which the format passes on as it is.
@@ -179,6 +178,25 @@ def xing(data: bytes, at: int, h: Header) -> dict | None:
     return out
 
 
+def alike(h: Header, audio: Audio) -> bool:
+    """A stream keeps its version, layer and sample rate; a header of another kind is damage."""
+    known = audio.frames[-1][1] if audio.frames else h
+    return (h.version, h.layer, h.rate) == (known.version, known.layer, known.rate)
+
+
+def resumes(data: bytes, at: int, end: int, h: Header, audio: Audio) -> bool:
+    """Does the stream go on with this header after damage? It has a right checksum if it carries one, and another
+    header of its kind or the end behind it."""
+    if not alike(h, audio):
+        return False
+    if h.protected and h.layer == 3:
+        held = np.frombuffer(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side], np.uint8)[None]
+        if int(crc16(held)[0]) != int.from_bytes(data[at + 4 : at + 6], "big"):
+            return False
+    behind = header(data[at + h.size : at + h.size + 4])
+    return at + h.size == end or behind is not None and (behind.version, behind.layer, behind.rate) == (h.version, h.layer, h.rate)
+
+
 def parse(data: bytes) -> Audio:
     """Read a stream from end to end; damage is skipped and counted, never an error."""
     out = Audio()
@@ -190,7 +208,7 @@ def parse(data: bytes) -> Audio:
     lost = False
     while at < end:
         h = header(data[at : at + 4])
-        if h and at + h.size <= end and (not lost or at + h.size == end or header(data[at + h.size : at + h.size + 4])):
+        if h and at + h.size <= end and (resumes(data, at, end, h, out) if lost else alike(h, out)):
             if not out.frames and out.table is None and (table := xing(data, at, h)):
                 out.table, out.table_at = table, at
             else:

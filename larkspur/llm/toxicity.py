@@ -1,6 +1,6 @@
 """Toxicity by a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word's vector is the sum of the hashed embeddings of the word and of its first 4 to 9 bytes, so that unseen
+A word's vector is the mean of the hashed embeddings of the word and of its first 4 to 9 bytes, so that unseen
 forms of a known stem are understood. Filters of widths 1, 2 and 3 slide over the whole text, each is max-pooled, and a
 logistic layer scores the pooled values. Before gradient descent, one embedding dimension holds each bucket's smoothed
 log ratio of toxic to clean training documents, and one filter reads it.
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .common import map_arrow, narrow, raw_texts
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 4
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 4
 PREFIXES = (4, 5, 6, 7, 8, 9)
 SLOTS = 1 + len(PREFIXES)
 #: Training documents of each label, at most.
 MAX_TRAIN = 2000
-EPOCHS, BATCH, RATE = 8, 16, 0.1
+EPOCHS, BATCH, RATE = 6, 16, 0.05
 #: Calibrated thresholds stay between these.
 LOWEST, HIGHEST = 0.3, 0.8
 #: Documents of each label that a language needs for a threshold of its own.
@@ -74,6 +74,11 @@ def features(text: bytes) -> Iterator[np.ndarray]:
         border = out[-(max(WIDTHS) - 1) :]
 
 
+def evened(part: np.ndarray) -> np.ndarray:
+    """Short words fill fewer slots; this makes up for it."""
+    return (SLOTS / np.maximum(1, (part != BUCKETS).sum(-1, keepdims=True))).astype(np.float32)
+
+
 @dataclass
 class Model:
     embedding: np.ndarray  # (BUCKETS + 1) x DIM; the last row is zero
@@ -91,7 +96,7 @@ class Model:
         best, where = np.full(len(self.bias), -np.inf), np.zeros(len(self.bias), int)
         first = 0
         for part in parts:
-            z = self.embedding[part].sum(1) @ self.filters if projection is None else projection[part].sum(1)
+            z = (self.embedding[part].sum(1) @ self.filters if projection is None else projection[part].sum(1)) * evened(part)
             z = np.concatenate([z, np.zeros((max(WIDTHS) - 1, z.shape[1]), z.dtype)])
             n = len(part)
             for i, w in enumerate(WIDTHS):
@@ -161,6 +166,7 @@ def train(texts: list[bytes], labels: list[int], languages: list[str | None], cl
                     for f in np.flatnonzero(back[own : own + FILTERS]).tolist():
                         g, row = back[own + f], where[own + f] + j
                         if row < len(words):
+                            g *= float(evened(words[row])[0])
                             d_filters[:, c + f] += g * embedding[words[row]].sum(0)
                             at.append(words[row])
                             by.append(np.broadcast_to(g * filters[:, c + f], (SLOTS, DIM)))
@@ -241,7 +247,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.projection(), model.bias, model.out, model.offset))  # about 3 MB
+    sent = docs.sparkSession.sparkContext.broadcast((model.projection(), model.bias, model.out, model.offset))  # about 25 MB, whatever the size of the input
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         projection, bias, out, offset = sent.value
