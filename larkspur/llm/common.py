@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -30,9 +31,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder: later jobs reread it, and its lineage ends there."""
+    """Write df once as a table in the shared checkpoint folder and read it back: lineage and statistics start anew.
+
+    (A frame from DataFrame.checkpoint() keeps size estimates of its plan. In a loop of joins these multiply, and their
+    digits alone soon cost more than the data.)
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/larkspur-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -18,29 +18,28 @@ BROADCAST_CELLS = 10_000
 NONE = "(none)"
 
 
-def tokens_of(text: Column) -> Column:
-    """A document's weight in tokens: its spaces and line ends plus one; none without text."""
-    text = F.coalesce(text, F.lit(""))
-    bare = F.length(F.translate(text, " \n", ""))
-    return F.when(text == "", 0).otherwise(F.length(text) - bare + 1).cast("bigint")
-
-
-def topic_of(text: Column) -> Column:
-    """A coarse topic by form: table, marked (symbols), loud (exclamations), note (short), long or prose."""
-    text = F.coalesce(text, F.lit(""))
-    n = tokens_of(text)
-    times = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    return (
-        F.when(times("|") * 4 > n, "table").when(times("#$%&*") * 4 > n, "marked").when(times("!") * 4 > n, "loud")
-        .when(n < 100, "note").when(n > 1000, "long").otherwise("prose")
-    )
+def times(char: str) -> Column:
+    """How often an ASCII character stands in mix_text."""
+    return (F.octet_length("mix_text") - F.octet_length(F.replace(F.col("mix_text"), F.lit(char), F.lit("")))).cast("bigint")
 
 
 def celled(docs: DataFrame) -> DataFrame:
-    """The table with mix_source, mix_lang, mix_topic and mix_tokens; null sources and languages are one value."""
+    """The table with mix_source, mix_lang, mix_topic and mix_tokens; null sources and languages are one value.
+
+    Tokens are a text's spaces plus one, and none without text. The topic is its form: table, marked (symbols), loud
+    (exclamations), note (short), long or prose.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     named = [F.coalesce(docs[c].cast("string"), F.lit(NONE)).alias(f"mix_{c}") for c in ("source", "lang")]
-    text = docs["text"].cast("string")
-    return docs.select("*", *named, topic_of(text).alias("mix_topic"), tokens_of(text).alias("mix_tokens"))
+    rows = docs.select("*", *named, F.coalesce(docs["text"].cast("string"), F.lit("")).alias("mix_text"))
+    marks = times("#") + times("%") + times("$")
+    counted = rows.select(*docs.columns, "mix_source", "mix_lang", F.when(F.col("mix_text") == "", 0).otherwise(times(" ") + 1).cast("bigint").alias("mix_tokens"), times("|").alias("mix_bars"), marks.alias("mix_marks"), times("!").alias("mix_bangs"))
+    n = F.col("mix_tokens")
+    topic = (
+        F.when(F.col("mix_bars") * 4 > n, "table").when(F.col("mix_marks") * 4 > n, "marked").when(F.col("mix_bangs") * 4 > n, "loud")
+        .when(n < 100, "note").when(n > 1000, "long").otherwise("prose")
+    )
+    return counted.select(*docs.columns, "mix_source", "mix_lang", topic.alias("mix_topic"), "mix_tokens")
 
 
 def smoothed(cells: DataFrame, dimension: str, power: float) -> DataFrame:
@@ -66,10 +65,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFr
     return out
 
 
-def mixing_weights(docs: DataFrame, power: float = 0.8, rounds: int = 5, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """One row for each cell: source, lang, topic, base (tokens), weight (fitted tokens), probability."""
+def mixing_weights(rows: DataFrame, power: float = 0.8, rounds: int = 5, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """From celled rows, one row for each cell: source, lang, topic, base (tokens), weight (fitted tokens), probability."""
     names = [f"mix_{d}" for d in DIMENSIONS]
-    cells = celled(docs).groupBy(*names).agg(F.sum("mix_tokens").alias("base"))
+    cells = rows.groupBy(*names).agg(F.sum("mix_tokens").alias("base"))
     cells = checkpoint(cells.select(*[F.col(n).alias(d) for n, d in zip(names, DIMENSIONS, strict=True)], "base"))
     goals = {d: (targets or {}).get(d) or checkpoint(smoothed(cells, d, power)) for d in DIMENSIONS}
     raked = rake(cells, goals, rounds).withColumn("ratio", F.expr("if(base > 0, weight / base, 0D)"))
@@ -84,22 +83,29 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(16**13)
 
 
+def sampled(rows: DataFrame, power: float, rounds: int, seed: int, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Celled rows with mix_weight (of their cell), mix_probability and mix_kept."""
+    cells = mixing_weights(rows, power, rounds, targets)
+    cells = checkpoint(cells.select(*[F.col(d).alias(f"mix_{d}") for d in DIMENSIONS], F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability")))
+    if cells.count() <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    out = rows.join(cells, [f"mix_{d}" for d in DIMENSIONS])
+    return out.withColumn("mix_kept", draw(F.col("doc_id"), seed) < F.col("mix_probability"))
+
+
 def mix(docs: DataFrame, power: float = 0.8, rounds: int = 5, seed: int = 17, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The table's rows with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight (of its cell), mix_probability, mix_kept.
 
     One row out for each row in. Null sources and languages are one value each; a cell without tokens is kept whole.
-    Rows that repeat a doc_id are kept or dropped alike within a cell. An empty table gives an empty result.
+    Rows that repeat a doc_id are kept or dropped alike within a cell. Columns of the table named mix_... are replaced. An empty table gives an empty result.
     """
-    cells = mixing_weights(docs, power, rounds, targets)
-    cells = checkpoint(cells.select(*[F.col(d).alias(f"mix_{d}") for d in DIMENSIONS], F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability")))
-    if cells.count() <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
-    out = celled(docs).join(cells, [f"mix_{d}" for d in DIMENSIONS])
-    return out.select(*docs.columns, *[f"mix_{c}" for c in ("source", "lang", "topic", "tokens", "weight", "probability")], (draw(F.col("doc_id"), seed) < F.col("mix_probability")).alias("mix_kept"))
+    out = sampled(celled(docs), power, rounds, seed, targets)
+    return out.select(*[c for c in docs.columns if not c.startswith("mix_")], *[f"mix_{c}" for c in ("source", "lang", "topic", "tokens", "weight", "probability", "kept")])
 
 
 def mixing_report(docs: DataFrame, power: float = 0.8, rounds: int = 5, seed: int = 17) -> DataFrame:
-    """Columns doc_id, source, lang, topic, tokens, weight, probability, kept of every row."""
-    slim = docs.select("doc_id", "text", "source", "lang")
+    """Columns doc_id, source, lang, topic, tokens, weight (4 decimals), probability (6), kept of every row. Texts are read once."""
+    slim = checkpoint(celled(docs.select("doc_id", "text", "source", "lang")).drop("text", "source", "lang"))
     names = ("source", "lang", "topic", "tokens", "weight", "probability", "kept")
-    return mix(slim, power, rounds, seed).select("doc_id", *[F.col(f"mix_{c}").alias(c) for c in names])
+    digits = {"weight": 4, "probability": 6}
+    return sampled(slim, power, rounds, seed).select("doc_id", *[(F.round(f"mix_{c}", digits[c]) if c in digits else F.col(f"mix_{c}")).alias(c) for c in names])
