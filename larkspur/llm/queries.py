@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import documents
-from .licenses import license_scan
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, license_scan
 from .media import media_columns
 from .mixing import mixing_report
 from .ngram_join import ngram_jaccard_join
@@ -67,5 +67,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def license_sql() -> str:
+    """Every block against every template by counting; no filters."""
+    words = ", ".join(f"('{label}', '{w}', {len(set(t.split()))})" for label, t in TEMPLATES.items() for w in sorted(set(t.split())))
+    at = lambda p: " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split()))
+    places = " UNION ALL ".join(f"SELECT rid, '{label}' AS label, unnest(list_filter(range(len(ws)), lambda i: {at(p)})) AS k FROM w" for p, label in PHRASES.items())
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents), w AS (SELECT rid, doc_id, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+  pl AS ({places}), tw AS (SELECT * FROM (VALUES {words}) v(label, word, size)),
+  ln AS (SELECT rid, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d), bw AS (SELECT rid, n, unnest(list_distinct(regexp_extract_all(l, '{_WORD}'))) AS word FROM ln),
+  hit AS (SELECT rid, n, label, count(*)::DOUBLE / any_value(size) AS share FROM bw JOIN tw USING (word) GROUP BY rid, n, label HAVING 100 * count(*) >= {THRESHOLD} * any_value(size)),
+  p AS (SELECT rid, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY rid),
+  q AS (SELECT rid, max(share) AS share FROM hit GROUP BY rid), lb AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM pl UNION SELECT rid, label FROM hit) GROUP BY rid)
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(CASE WHEN n_base > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END, coalesce(share, 0::DOUBLE)) AS score FROM w LEFT JOIN p USING (rid) LEFT JOIN q USING (rid) LEFT JOIN lb USING (rid)"""
+
+
+def mixing_sql(power: float = 0.8, rounds: int = 5, seed: int = 17) -> str:
+    """Raking unrolled: one common table for each margin of each round."""
+    times = lambda c: f"(strlen(t) - strlen(replace(t, '{c}', '')))"
+    goals = ", ".join(f"g_{m} AS (SELECT {m}, pow(b, {power}::DOUBLE) / sum(pow(b, {power}::DOUBLE)) OVER () AS g FROM (SELECT {m}, sum(base)::DOUBLE AS b FROM cells GROUP BY {m} HAVING sum(base) > 0))" for m in ("s", "l", "tp"))
+    steps, last = ["w0 AS (SELECT *, base::DOUBLE AS w FROM cells)"], 0
+    for _ in range(rounds):
+        for m in ("s", "l", "tp"):
+            steps.append(f"w{last + 1} AS (SELECT s, l, tp, base, w * CASE WHEN now > 0 THEN coalesce(g, 0) * (SELECT sum(base)::DOUBLE FROM cells) / now ELSE 0 END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {m}) AS now FROM w{last}) LEFT JOIN g_{m} USING ({m}))")
+            last += 1
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, '(none)') AS s, coalesce(lang, '(none)') AS l, coalesce(text, '') AS t FROM documents),
+  c AS (SELECT doc_id, s, l, CASE WHEN t = '' THEN 0 ELSE {times(' ')} + 1 END AS n, {times('|')} AS bars, {times('#')} + {times('%')} + {times('$')} AS marks, {times('!')} AS bangs FROM d),
+  r AS (SELECT doc_id, s, l, n, CASE WHEN bars * 4 > n THEN 'table' WHEN marks * 4 > n THEN 'marked' WHEN bangs * 4 > n THEN 'loud' WHEN n < 100 THEN 'note' WHEN n > 1000 THEN 'long' ELSE 'prose' END AS tp FROM c),
+  cells AS (SELECT s, l, tp, sum(n) AS base FROM r GROUP BY ALL), {goals}, {', '.join(steps)},
+  z AS (SELECT s, l, tp, w, CASE WHEN base > 0 THEN (w / base) / max(CASE WHEN base > 0 THEN w / base ELSE 0 END) OVER () ELSE 1 END AS p FROM w{last})
+  SELECT doc_id, s AS source, l AS lang, tp AS topic, n::BIGINT AS tokens, round(w, 4) AS weight, round(p, 6) AS probability,
+  ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '(none)') || ':{seed}'), 1, 13))::BIGINT / {16**13}::DOUBLE < p AS kept FROM r JOIN z USING (s, l, tp)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express at the size of whole tables.
+
+    The others have brute-force versions in their tests: SQL has no CRC-32 (1), trained models and fields (2, 4, 7), match
+    positions (6), MPEG frames (8) or merges (10), and a join of all texts' n-grams without filters is too slow (3).
+    """
+    return {"op5_license_scan": license_sql(), "op9_mixing": mixing_sql()}
