@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, dot, let, safe_logit, sigmoid, softmax
 from .intent import ladder
-from .sequences import UNKNOWN, UNKNOWN_TOKEN
+from .sequences import UNKNOWN, UNKNOWN_TOKEN, event_tokens
 
 
 
@@ -130,3 +130,10 @@ def save(fitted: Fitted, model: AttentionModel, path: str, spark: SparkSession)
 def load(path: str, spark: SparkSession) -> tuple[AttentionModel, Fitted]:
     r = spark.read.parquet(f"{path}/model").first()
     return AttentionModel(r.length, r.dim, r.version), Fitted(list(r.weight), r.bias, r.positive_rate, spark.read.parquet(f"{path}/scores"))
+
+
+def asked_from_events(events: DataFrame) -> DataFrame:
+    """Each user's whole history as the rows that predict() takes: pos (the last event's), user_id, tokens, label 0."""
+    one = F.struct("timestamp", "pos", event_tokens().alias("tokens"))
+    grouped = events.groupBy("user_id").agg(F.max("pos").alias("pos"), F.array_sort(F.collect_list(one)).alias("h"))
+    return grouped.select("pos", "user_id", F.flatten(F.col("h.tokens")).alias("tokens"), F.lit(0).alias("label"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAD, UNKNOWN = 0, 1
@@ -75,3 +75,11 @@ def prefix_split(found: DataFrame, ratio: float = 0.3) -> tuple[DataFrame, DataF
     cut = max(1, int(n * (1 - ratio)))
     at = found.withColumn("_at", F.row_number().over(Window.orderBy("user_first", "timestamp", "pos")))
     return at.where(F.col("_at") <= cut).drop("_at"), at.where(F.col("_at") > cut).drop("_at")
+
+
+def save_vocabulary(vocab: DataFrame, path: str) -> None:
+    vocab.write.mode("overwrite").parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("token string, id int").parquet(path)

@@ -19,8 +19,10 @@ def test_sample_sequence_model(spark, tmp_path):
     assert (m.accuracy, m.precision, m.recall, m.f1, m.tp, m.tn, m.fp, m.fn) == (0.6667, 0.3333, 1.0, 0.5, 1, 3, 2, 0)
     at.save(fitted, model, str(tmp_path), spark)
     model, fitted = at.load(str(tmp_path), spark)
-    whole = [(r.user_id, [t for e in r.history for t in (f"event:{e.event_type}", f"item:{e.item_id}")]) for r in sq.histories(events).collect() if r.user_id in "0123"] + [("999", [])]
-    asked = spark.createDataFrame([(k, u, t, 0) for k, (u, t) in enumerate(whole)], "pos bigint, user_id string, tokens array<string>, label int")
+    nobody = spark.createDataFrame([(-1, "999", [], 0)], "pos bigint, user_id string, tokens array<string>, label int")
+    asked = at.asked_from_events(events).where("user_id < '4'").union(nobody)
+    sq.save_vocabulary(vocab, str(tmp_path / "vocabulary"))
+    vocab = sq.load_vocabulary(spark, str(tmp_path / "vocabulary"))
     got = {r.user_id: r for r in model.predict(asked, vocab, fitted).collect()}
     assert {u: r.purchase_probability for u, r in got.items()} == {"0": 0.7051, "1": 0.9891, "2": 0.1292, "3": 0.8886, "999": 0.25}
     assert got["999"].important == [] and len(got["0"].important) == 5

@@ -61,3 +61,10 @@ def test_system_end_to_end(spark, tmp_path):
     assert sum(r["keys"] for r in system.key_distribution().collect()) == system.cells().count()
     roles = {r.node_id: r.role for r in promoted(system.topology(), "shard-a", "shard-a-follower1").collect()}
     assert (roles["shard-a-leader"], roles["shard-a-follower1"], roles["shard-b-leader"]) == ("follower", "leader", "leader")
+
+
+def test_all_steps_run(spark, tmp_path):
+    from larkspur.run import steps
+
+    results = {name: step() for name, step in steps(spark, str(tmp_path))}
+    assert sum(n for _, n in results["placement"]) == 1979 and results["sequences"]["f1"] == 0.5  # known figures
