@@ -9,6 +9,8 @@ How a pair of similar texts is brought together, at any size:
 3. Each list of texts that keep a shingle gives pairs of a text and a pivot (list_pairs), after length and positional
    filters. A text joins the group of each of its pivots. So a linked pair meets in a group of the first shingle that
    it shares, and a thousand near copies meet in a few groups rather than in one for each shingle.
+   Joins of members with all documents are merge joins at every size: the members grow with the documents, so a
+   broadcast that happens to fit a small table would say nothing about a large one.
 4. A group is searched in blocks of bounded size, each with the pivot. Members whose bitmaps rule out every other one
    leave first, and the texts of the rest are fetched. Then every member is a query against the block's
    inverted lists. The longest lists are left aside, the short ones are heap-merged, and whoever reaches
@@ -262,8 +264,8 @@ def search_blocks(members: DataFrame, own: DataFrame, docs: DataFrame, size: int
         pairs = divide_skip(sets, percent, list(labels), None if len(asking) == len(ids) else asking)
         return [(ids[a], ids[b]) for a, b in pairs]
 
-    left = checkpoint(by_block(members.join(own.select("doc_id", "n", "bits"), "doc_id"), [*MEMBERS, "n", "bits"], alive, MEMBER))
-    return by_block(left.join(docs.select("doc_id", "text"), "doc_id"), [*MEMBERS, "text"], found, "a bigint, b bigint")
+    left = checkpoint(by_block(members.join(own.select("doc_id", "n", "bits").hint("merge"), "doc_id"), [*MEMBERS, "n", "bits"], alive, MEMBER))
+    return by_block(left.join(docs.select("doc_id", "text").hint("merge"), "doc_id"), [*MEMBERS, "text"], found, "a bigint, b bigint")
 
 
 def list_pairs(tokens: DataFrame, percent: int) -> DataFrame:
@@ -344,7 +346,7 @@ def list_pairs(tokens: DataFrame, percent: int) -> DataFrame:
 
 def representative_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect the representatives of all similar classes."""
-    own = signed.where("digest is not null").join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    own = signed.where("digest is not null").join(classes.select(F.col("first").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     tokens = own.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
     joined = checkpoint(list_pairs(tokens.select("token", "doc_id", "n", "at"), percent))
     blocks = joined.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -385,7 +387,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     found = connected_components(links).select(F.col("vertex").alias("first"), "component")
     named = classes.join(found, "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
     return (
-        signed.select("doc_id", "n", "digest").join(named, "digest", "left")
+        signed.select("doc_id", "n", "digest").join(named.hint("merge"), "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     )
 
@@ -397,7 +399,7 @@ def drop_near_copies(docs: DataFrame, size: int = 4, percent: int = 85) -> DataF
     """
     found = ngram_jaccard_join(docs, size, percent)
     copies = checkpoint(found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct())
-    out = docs.join(copies, docs["doc_id"] == copies["copy_id"], "left_anti")
+    out = docs.join(copies.hint("merge"), docs["doc_id"] == copies["copy_id"], "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("`count` > 1")
     if repeated.isEmpty():
         return out
