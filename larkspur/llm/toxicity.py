@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .common import map_arrow, narrow, raw_texts
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 12, (1, 2, 3), 4
+BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 4
 PREFIXES = (4, 5, 6, 7, 8, 9)
 SLOTS = 1 + len(PREFIXES)
 #: Training documents of each label, at most.
@@ -46,7 +46,7 @@ COLUMNS = _columns()
 
 def features(text: bytes) -> Iterator[np.ndarray]:
     """Buckets of the words of a text (words x SLOTS; BUCKETS stands for none), in pieces that share their border words."""
-    whole, at, border = np.frombuffer(text, np.uint8), 0, np.full((0, SLOTS), BUCKETS, np.int32)
+    whole, at, border = np.frombuffer(text, np.uint8), 0, np.full((0, SLOTS), BUCKETS, np.uint16)
     while at < len(whole):
         end = min(len(whole), at + bw.PIECE)
         while end < len(whole):
@@ -60,7 +60,7 @@ def features(text: bytes) -> Iterator[np.ndarray]:
         at = end
         if not len(starts):
             continue
-        out = np.full((len(starts), SLOTS), BUCKETS, np.int32)
+        out = np.full((len(starts), SLOTS), BUCKETS, np.uint16)
         mask = np.uint64(BUCKETS - 1)
         out[:, 0] = bw.hash_spans(buf, starts, ends) & mask
         lengths, total = ends - starts, np.zeros(len(starts), np.uint64)
@@ -68,7 +68,7 @@ def features(text: bytes) -> Iterator[np.ndarray]:
             total += bw._BYTE[buf[np.minimum(starts + k, len(buf) - 1)]] * bw.powers(16)[k]
             if k + 1 in PREFIXES:
                 long = lengths > k
-                out[long, 1 + PREFIXES.index(k + 1)] = (bw.mix(total[long] + np.uint64(k)) & mask).astype(np.int32)
+                out[long, 1 + PREFIXES.index(k + 1)] = (bw.mix(total[long] + np.uint64(k)) & mask).astype(np.uint16)
         out = np.concatenate([border, out])
         yield out
         border = out[-(max(WIDTHS) - 1) :]
@@ -247,7 +247,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.projection(), model.bias, model.out, model.offset))  # about 25 MB, whatever the size of the input
+    sent = docs.sparkSession.sparkContext.broadcast((model.projection(), model.bias, model.out, model.offset))  # about 3 MB, whatever the size of the input
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         projection, bias, out, offset = sent.value
