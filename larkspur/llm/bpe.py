@@ -227,8 +227,8 @@ class ByteBpe:
     def encode_batch(self, batch: list[str]) -> list[str]:
         """The ids of each text, comma-joined."""
         out = []
-        for k in range(0, len(batch), 100):
-            parts = [self.split_special.split(t) if self.split_special else [t] for t in batch[k : k + 100]]
+        for k in range(0, len(batch), 500):
+            parts = [self.split_special.split(t) if self.split_special else [t] for t in batch[k : k + 500]]
             cut = [[[x] if j % 2 else self.split(x) for j, x in enumerate(p)] for p in parts]
             self.learn(set().union(*[x for c in cut for x in c[::2]]))
             get = self.pieces.__getitem__
