@@ -316,18 +316,19 @@ def list_pairs(tokens: DataFrame, percent: int) -> DataFrame:
             starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             lengths = np.diff(np.append(starts, len(token)))
             out, hold = [], len(token)
-            for s, size in zip(starts[lengths > FEW].tolist(), lengths[lengths > FEW].tolist(), strict=True):
-                if token[s] != long_token:
-                    long_token, firsts = token[s], {}
+            rest = int(lengths[0]) if token[0] == long_token else 0
+            if rest:  # of the list that was long in an earlier batch; before another list takes its place
+                out += many(doc[:rest], n[:rest], at[:rest], firsts)
+            long = (lengths > FEW) & (starts >= rest)
+            for s, size in zip(starts[long].tolist(), lengths[long].tolist(), strict=True):
+                long_token, firsts = token[s], {}
                 out += many(doc[s : s + size], n[s : s + size], at[s : s + size], firsts)
             if not last and lengths[-1] <= FEW and token[-1] != long_token:  # it may go on in the next batch
                 hold = int(starts[-1])
             runs = np.repeat(np.arange(len(starts)), lengths)
             short = np.repeat((lengths > 1) & (lengths <= FEW), lengths)
             short[hold:] = False
-            if lengths[0] <= FEW and token[0] == long_token:  # the rest of a long list
-                out += many(doc[: lengths[0]], n[: lengths[0]], at[: lengths[0]], firsts)
-                short[: lengths[0]] = False
+            short[:rest] = False
             kept = [c[hold:] for c in cols]
             return out + few(token, doc, n, at, runs, short)
 

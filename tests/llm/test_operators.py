@@ -178,6 +178,20 @@ def test_join_equals_brute_force(spark, monkeypatch, block, few):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("rows", [3, 11, 1000])
+def test_lists_that_batches_split(spark, monkeypatch, rows):
+    """A list's last texts get its pivots although another long list follows them in their batch."""
+    whole = ngram_join.map_batches
+    monkeypatch.setattr(ngram_join, "map_batches", lambda df, run, schema, _: whole(df, run, schema, rows))
+    lists = {1: range(12), 2: range(100, 120), 3: range(200, 203), 4: range(300, 309), 5: range(400, 402)}
+    tokens = spark.createDataFrame([(t, d, 100, 0) for t, ds in lists.items() for d in ds], "token bigint, doc_id bigint, n int, at int")
+    monkeypatch.setattr(type(tokens), "repartition", lambda df, *_: df.coalesce(1))
+    own = {d: {d} for ds in lists.values() for d in ds}
+    for r in ngram_join.list_pairs(tokens, 85).collect():
+        own[r.doc_id].add(r.pivot)
+    assert all(own[x] & own[y] for ds in lists.values() for x in ds for y in ds)
+
+
 def test_join_on_the_table(documents, texts):
     got = by_id(ngram_join.ngram_jaccard_join(documents))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts)
