@@ -201,13 +201,14 @@ def parse(data: bytes) -> Audio:
     """Read a stream from end to end; damage is skipped and counted, never an error."""
     out = Audio()
     at, out.tags = id3v2(data)
-    end = len(data)
+    whole = end = len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     lost = False
     while at < end:
         h = header(data[at : at + 4])
+        if h and end < at + h.size <= whole and resumes(data, at, whole, h, out):
+            end = whole  # these letters are a frame's own bytes
         if h and at + h.size <= end and (resumes(data, at, end, h, out) if lost else alike(h, out)):
             if not out.frames and out.table is None and (table := xing(data, at, h)):
                 out.table, out.table_at = table, at
@@ -222,12 +223,14 @@ def parse(data: bytes) -> Audio:
         found = data.find(b"\xff", at + 1, end)
         out.skipped += (found if found >= 0 else end) - at
         at = found if found >= 0 else end
+    if end < whole:
+        out.tags.setdefault("TIT2", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
     if (own := [(o, h) for o, h in out.frames if h.protected and h.layer == 3]):
-        whole = np.frombuffer(data, np.uint8)
+        raw = np.frombuffer(data, np.uint8)
         for side in {h.side for _, h in own}:
             offsets = np.array([o for o, h in own if h.side == side])
-            held = np.concatenate([whole[offsets[:, None] + [2, 3]], whole[offsets[:, None] + np.arange(6, 6 + side)]], axis=1)
-            stated = whole[offsets + 4].astype(np.int64) << 8 | whole[offsets + 5]
+            held = np.concatenate([raw[offsets[:, None] + [2, 3]], raw[offsets[:, None] + np.arange(6, 6 + side)]], axis=1)
+            stated = raw[offsets + 4].astype(np.int64) << 8 | raw[offsets + 5]
             out.checked += len(offsets)
             out.bad_crc += int((crc16(held) != stated).sum())
     return out

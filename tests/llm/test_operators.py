@@ -407,6 +407,21 @@ def test_media_survives_damage():
     assert media.parse(whole + b"TAG" + b"title".ljust(125, b"\0")).tags["TIT2"] == "title"
 
 
+def test_media_payload_may_look_like_a_tag(spark):
+    for units in (1, 2, 8, 9):
+        for k in range(574):
+            payload = (b"x" * (576 * (units - 1) + k) + b"TAG").ljust(576 * units, b"x")
+            whole = media.pack(payload)
+            audio = media.parse(whole)
+            assert media.unpack(whole, audio) == payload and (audio.truncated, audio.resyncs, list(audio.tags)) == (0, 0, ["TLEN"])
+            tagged = whole + b"TAG" + b"title".ljust(125, b"\0")
+            audio = media.parse(tagged)
+            assert media.unpack(tagged, audio) == payload and audio.tags["TIT2"] == "title"
+    text = "x" * 521 + "TAG" + "x" * 52
+    r = media.media_columns(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (r.payload_bytes, r.payload_sha256) == (576, hashlib.sha256(text.encode()).hexdigest())
+
+
 # --- 9 mixing
 
 
