@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 from larkspur.llm import ngram_join, secrets, toxicity
 
 from .conftest import LONG
-from .test_operators import brute_components, by_id
+from .test_operators import brute_components, by_id, lower, near_copies
 
 
 def test_pipeline(spark, tmp_path, data):
@@ -44,6 +44,30 @@ def test_pipeline(spark, tmp_path, data):
     assert sorted(map(str, cp.run(spark, d).collect())) == sorted(map(str, last.values()))
 
 
+def test_near_copies_are_five_words_and_80_percent(spark):
+    """A tail of a fifth of a text's length makes a near copy; the kept rows are those of a comparison of all pairs."""
+    words = [f"w{k}" for k in range(120)]
+    rows = list(near_copies().items()) + [(1000, " ".join(words[:100])), (1001, " ".join(words))]
+    sets, up = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = lower(t).split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in up:
+        for j in up:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(r.doc_id for r in cp.near_copies(spark, docs, "").collect())
+    assert kept == sorted(i for i in up if root(i) == i) and 1000 in kept and 1001 not in kept
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
