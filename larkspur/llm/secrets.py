@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that tags further tokens.
 
-The field labels tokens as begin of a secret, inside one, or outside (O), from a token's shape, its neighbourhood and
-features of the file, and is decoded by Viterbi. Only tokens of LEAST or more characters of the secret alphabet with
-a digit can be anything but O. So a text falls into chains of such tokens with nothing but white space between them,
-and decoding the chains one by one is decoding the whole text.
+Tokens are runs of the secret alphabet. The field labels each as begin of a secret, inside one, or outside (O), from its
+shape, the words beside it and features of the file, and is decoded by Viterbi. A token is free to take any label if it
+has the look of a secret (LONG characters or more, with a digit or mixed case), or if it has SHORT characters or more
+and a key word stands in the REACH characters before it on its line; any other token is O. A token that must be O cuts a
+chain in two independent ones, so the text falls into chains of free tokens with nothing but white space between
+them, and decoding these one by one is decoding the whole text.
 
 The field is trained in numpy, once per process, on lines made by a seeded generator. Real tables label no secrets, and
 made lines keep the model the same for every table, partition and retry.
@@ -37,9 +39,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs of 16 and more
 KINDS = ("assign", "access", "hex", "crf")
 
-LEAST = 12
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{%d,}={0,2}" % LEAST)
+#: Free tokens: of LONG characters by their look, of SHORT ones with a key word at most REACH characters before.
+LONG, SHORT, REACH = 12, 8, 60
+#: What is left of a tagged token beside a base span counts from this length on.
+LEFT = 6
+TOKEN = re.compile(r"[A-Za-z0-9+/_.~-]+={0,2}")
+LOOK = re.compile(r"[A-Za-z0-9+/_.~-]{%d,}={0,2}" % LONG)
 _DIGIT = re.compile(r"[0-9]").search
+_MIXED = re.compile(r"[a-z][A-Z]+[a-z]+[A-Z]|[A-Z][a-z]+[A-Z]{2,}[a-z]").search
 
 Span = tuple[str, int, int]
 
@@ -59,7 +66,9 @@ def order(span: Span) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-_NEAR_KEY = re.compile(r"(?:pass|pwd|secret|token|key|auth|bearer|credential|private)", re.I)
+KEY_STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private")
+_NEAR_KEY = re.compile("|".join(map(_any_case, KEY_STEMS)))
+_WORD = re.compile(r"[A-Za-z_]+")
 _ISSUED = re.compile(r"(?:gh[pousr]_|github_pat_|glpat-|sk[_-]|pk_live|rk_live|xox[abprs]-|AIza|eyJ|ya29\.|npm_|pypi-|shpat_|SG\.|hf_)")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _NUMBER = re.compile(r"[0-9.+/_=~-]+")
@@ -68,34 +77,44 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _WORDY = re.compile(r"[A-Za-z]{2,}[._/-]")
 
 
+_KIND = str.maketrans({chr(c): "l" if chr(c).islower() else "u" if chr(c).isupper() else "d" if chr(c).isdigit() else "s" for c in range(128)})
+_NO_DIGIT = str.maketrans("lus", "xxx")
+
+
 def shape(token: str) -> list[str]:
     """What a token looks like."""
     n = len(token)
-    kinds = Counter("l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in token)
-    turns = sum(1 for a, b in zip(token, token[1:], strict=False) if a.isdigit() != b.isdigit())
+    kinds = token.translate(_KIND)
+    lower, upper, digits, signs = map(kinds.count, "luds")
+    flat = kinds.translate(_NO_DIGIT)
+    turns, cases = flat.count("xd") + flat.count("dx"), kinds.count("lu")
+    vowels = sum(map(token.count, "aeiouyAEIOUY"))
     times = Counter(token)
     entropy = -sum(k / n * math.log2(k / n) for k in times.values())
-    out = [f"len{min(n // 8, 6)}", f"entropy{min(int(entropy * 2), 10)}", f"turns{min(turns // 2, 5)}", f"digits{kinds['d'] * 4 // n}"]
+    out = [f"len{min(n // 8, 6)}", f"entropy{min(int(entropy * 2), 10)}", f"turns{min(turns // 2, 5)}", f"digits{digits * 4 // n}", f"cases{min(cases * 8 // n, 3)}", f"vowels{min(vowels * 8 // max(1, n - digits - signs), 4)}"]
     out += [name for name, ok in (
-        ("lower", kinds["l"]), ("upper", kinds["u"]), ("mixed", kinds["l"] and kinds["u"] and kinds["d"]), ("signs", kinds["s"] > 2),
+        ("lower", lower), ("upper", upper), ("mixed", lower and upper and digits), ("signs", signs > 2),
         ("hex", _HEX.fullmatch(token)), ("number", _NUMBER.fullmatch(token)), ("host", _HOST.fullmatch(token)), ("uuid", _UUID.fullmatch(token)),
-        ("issued", _ISSUED.match(token)), ("wordy", _WORDY.search(token)), ("even64", n == 64), ("padded", token.endswith("=")),
+        ("issued", _ISSUED.match(token)), ("wordy", _WORDY.search(token)), ("letters", lower + upper == n), ("capitals", upper == n), ("name", lower and not upper and not digits), ("even64", n == 64), ("padded", token.endswith("=")),
     ) if ok]
     return out
 
 
 def neighbourhood(text: str, start: int, end: int) -> list[str]:
-    """What stands around a token: the words and signs before it on its line, and the sign after it."""
-    line = text.rfind("\n", max(0, start - 60), start)
-    before = text[max(line + 1, start - 60) : start]
-    out = []
+    """What stands around a token: the two words before it on its line and the one after it, and the signs beside it."""
+    line = text.rfind("\n", max(0, start - REACH), start)
+    before = text[max(line + 1, start - REACH) : start]
+    after = text[end : end + REACH]
+    out = [f"before{k + 1}={w.lower()}" for k, w in enumerate(reversed(_WORD.findall(before)[-2:]))]
+    if (m := _WORD.search(after)) and "\n" not in after[: m.start()]:
+        out.append(f"after={m[0].lower()}")
     if m := list(_NEAR_KEY.finditer(before)):
         out.append("key_near" if len(before) - m[-1].end() <= 12 else "key_far")
     tail = before.rstrip(" ")[-3:]
     out += [name for name, ok in (
         ("assigned", tail[-1:] in (":", "=") or tail[-1:] in ("'", '"') and ("=" in tail or ":" in before[-5:])), ("quoted", tail[-1:] in ("'", '"', "`")),
-        ("host_part", text[max(0, start - 1) : start] == "@" or text[end : end + 1] == "@"), ("url", before.endswith("//") or "://" in before[-30:] and " " not in before.rpartition("://")[2]),
-        ("line_start", not before.strip()), ("close_quote", text[end : end + 1] in ("'", '"', "`")),
+        ("host_part", text[max(0, start - 1) : start] == "@" or after[:1] == "@"), ("url", before.endswith("//") or "://" in before[-30:] and " " not in before.rpartition("://")[2]),
+        ("line_start", not before.strip()), ("close_quote", after[:1] in ("'", '"', "`")),
     ) if ok]
     return out
 
@@ -109,18 +128,48 @@ def file_features(text: str) -> list[str]:
     return out
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """Candidate tokens, as runs with nothing but white space between their tokens."""
-    out: list[list[tuple[int, int]]] = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not _DIGIT(text, a, b):
-            continue
+def key_ends(text: str) -> list[int]:
+    """Where key words end, in order."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter grew: places would be off
+        return [m.end() for m in _NEAR_KEY.finditer(text)]
+    out = []
+    for stem in KEY_STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            out.append(at + len(stem))
+            at = low.find(stem, at + 1)
+    return sorted(out)
+
+
+def free_tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of the tokens that may be other than O, in text order."""
+    found = {m.span() for m in LOOK.finditer(text) if _DIGIT(m[0]) or _MIXED(m[0])}
+    done = 0
+    for end in key_ends(text):
+        line = text.find("\n", end, end + REACH)
+        stop = line if line >= 0 else end + REACH
+        for t in TOKEN.finditer(text, max(done, end)):
+            a, b = t.span()
+            if a >= stop:
+                break
+            done = b
+            if b - a >= SHORT and (a > end or not TOKEN.match(text, a - 1)):
+                found.add((a, b))
+    out = []
+    for a, b in sorted(found):
         while b > a and text[b - 1] in ".-~":  # ends of sentences, rules and ranges
             b -= 1
-        if b - a < LEAST:
-            continue
-        if out and (gap := text[out[-1][-1][1] : a]) and len(gap) <= 3 and not gap.strip():
+        if b - a >= SHORT and (not out or a >= out[-1][1]):
+            out.append((a, b))
+    return out
+
+
+def chains(text: str) -> list[list[tuple[int, int]]]:
+    """Free tokens, as runs with nothing but white space between their tokens."""
+    out: list[list[tuple[int, int]]] = []
+    for a, b in free_tokens(text):
+        if out and text[out[-1][-1][1] : a].isspace():
             out[-1].append((a, b))
         else:
             out.append([(a, b)])
@@ -164,9 +213,14 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
+#: Features seen less often in training are left out.
+LEAST_SEEN = 4
+
+
 def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> Field:
     """Maximum likelihood by gradient ascent with forward-backward, over all chains of a length at once."""
-    names = {f: k for k, f in enumerate(sorted({f for chain, _ in examples for token in chain for f in token}))}
+    times = Counter(f for chain, _ in examples for token in chain for f in token)
+    names = {f: k for k, f in enumerate(sorted(f for f, n in times.items() if n >= LEAST_SEEN))}
     field = Field(names, np.zeros((len(names), 3)), np.zeros((3, 3)))
     packs = []
     for length in sorted({len(y) for _, y in examples}):
@@ -174,7 +228,7 @@ def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int = 200, ra
         x = np.zeros((len(same), length, len(names)))
         for k, (chain, _) in enumerate(same):
             for t, token in enumerate(chain):
-                x[k, t, [names[f] for f in token]] = 1
+                x[k, t, [names[f] for f in token if f in names]] = 1
         packs.append((x, np.eye(3)[np.array([y for _, y in same])]))
     square_w, square_m = np.full_like(field.weights, 1e-8), np.full_like(field.moves, 1e-8)
     for _ in range(rounds):
@@ -207,7 +261,7 @@ def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int = 200, ra
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
-def made_lines(seed: int = 11, count: int = 1500) -> list[tuple[str, list[tuple[int, int]]]]:
+def made_lines(seed: int = 11, count: int = 3000) -> list[tuple[str, list[tuple[int, int]]]]:
     """Small texts and the secrets in them: each secret is a list of its tokens' spans, in text order."""
     r = random.Random(seed)
     of = lambda alphabet, a, b: "".join(r.choice(alphabet) for _ in range(r.randint(a, b)))
@@ -215,20 +269,25 @@ def made_lines(seed: int = 11, count: int = 1500) -> list[tuple[str, list[tuple[
     words = lambda: " ".join(word() for _ in range(r.randint(1, 8)))
     alnum = LETTERS + LETTERS.upper() + DIGITS
     secret = lambda: r.choice([lambda: of(alnum, 16, 48), lambda: of(alnum + "+/", 30, 60) + "=", lambda: of("0123456789abcdef", 24, 64), lambda: r.choice(["ghp_", "glpat-", "sk_live_", "sk-", "xoxb-", "AIza", "hf_", "npm_"]) + of(alnum, 20, 40), lambda: "eyJ" + of(alnum, 16, 30) + "." + of(alnum, 20, 60) + "." + of(alnum + "_-", 20, 43)])()
-    names = ["password", "db_password", "secret", "client_secret", "token", "auth_token", "api_key", "apiKey", "access_key", "SECRET_KEY", "private_key", "credential"]
+    lettered = lambda: r.choice([lambda: of(LETTERS + LETTERS.upper(), 16, 44), lambda: of(LETTERS.upper(), 16, 32), lambda: of(LETTERS, 20, 40)])()
+    short = lambda: of(LETTERS, 2, 6) + r.choice("!._-+") .replace("!", "") + of(DIGITS, 2, 4) + of(alnum, 3, 8)
+    names = ["password", "db_password", "secret", "client_secret", "token", "auth_token", "api_key", "apiKey", "access_key", "SECRET_KEY", "private_key", "credential", "API key", "auth token", "access token"]
     around = [lambda n, s: f'{n} = "{s}"', lambda n, s: f"export {n.upper()}={s}", lambda n, s: f'"{n}": "{s}"', lambda n, s: f"Authorization: Bearer {s}", lambda n, s: f"{n}: {s}", lambda n, s: f"{words()} {n} {s} {words()}", lambda n, s: f"the {n} is {s}"]
+    issued = lambda: r.choice(["ghp_", "glpat-", "sk_live_", "xoxb-", "AIza", "hf_", "npm_"]) + of(alnum, 24, 40)
     harmless = [
         lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), lambda: of(DIGITS, 12, 19), lambda: f"mail{r.randint(1, 9)}.{word()}.com",
         lambda: f"20{of(DIGITS, 2, 2)}-{of(DIGITS, 2, 2)}-{of(DIGITS, 2, 2)}T{of(DIGITS, 2, 2)}", lambda: f"{word()}/{word()}_{r.randint(1, 99)}.{r.choice(['py', 'txt', 'html'])}",
         lambda: f"v{r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}-{word()}", lambda: "-".join(of("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: of("0123456789abcdef", 40, 40),
-        lambda: f"{word()}-{word()}-{r.randint(1, 999)}-{word()}", lambda: f"{word()}{r.randint(1, 9)}_{word()}_{word()}", lambda: f"www.{word()}{r.randint(1, 9)}.org/{word()}", lambda: word() + word() + of(DIGITS, 1, 2),
+        lambda: f"{word()}-{word()}-{r.randint(1, 999)}-{word()}", lambda: f"{word()}{r.randint(1, 9)}_{word()}_{word()}", lambda: f"www.{word()}{r.randint(1, 9)}.org/{word()}", lambda: word() + word() + of(DIGITS, 1, 2), lambda: word() + word() + word(), lambda: word().title() + word().title() + word().title(), lambda: word() + "-" + word() + "-" + word(),
+        lambda: word().upper() + word().upper() + word().upper(),
     ]
     out = []
     for _ in range(count):
         kind = r.random()
         if kind < 0.4:
-            s = secret()
-            line = r.choice(around)(r.choice(names), s)
+            s = r.choices([secret, lettered, short, issued], [8, 2, 1, 1])[0]()
+            bare = s.startswith(("ghp_", "glpat-", "sk_live_", "xoxb-", "AIza", "hf_", "npm_", "eyJ")) and r.random() < 0.5
+            line = f"{r.choice(['', words() + ' '])}{s}" if bare else r.choice(around)(r.choice(names), s)
             text = r.choice(["", words() + "\n"]) + line + r.choice(["", "\n" + words()])
             at = text.index(s)
             out.append((text, [(at, at + len(s))]))
@@ -242,7 +301,7 @@ def made_lines(seed: int = 11, count: int = 1500) -> list[tuple[str, list[tuple[
                 at += len(b)
             out.append((text, spans))
         else:
-            text = " ".join(x for _ in range(r.randint(1, 3)) for x in (words(), r.choice(["", "", "id ", "commit ", "from ", "card ", "see https://", "a@", "key points: "]) + r.choice(harmless)(), words()))
+            text = " ".join(x for _ in range(r.randint(1, 3)) for x in (words(), r.choice(["", "", "id ", "commit ", "from ", "card ", "see https://", "a@", "key points: ", "the key to ", "a token of ", "secret of the ", "passing ", "the author of ", "its authority over "]) + r.choice(harmless)(), words()))
             out.append((text, []))
     return out
 
@@ -263,21 +322,62 @@ def trained() -> Field:
     return fit(examples)
 
 
-def tagged_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Secrets that the field finds where no base span is."""
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span without what isn't of the secret alphabet at its ends."""
+    while a < b and not TOKEN.match(text, a, b):
+        a += 1
+    while a < b and not (text[b - 1] == "=" or TOKEN.match(text, b - 1, b)):
+        b -= 1
+    return a, b
+
+
+def beside(text: str, tagged: list[tuple[int, int]], taken: list[Span]) -> list[Span]:
+    """What is left of tagged spans outside the base spans: one sweep over both, which come by start."""
     out: list[Span] = []
+    at = 0
+    for start, end in tagged:
+        while at < len(taken) and taken[at][2] <= start:
+            at += 1
+        begin, pieces, k = start, [], at
+        while k < len(taken) and taken[k][1] < end:
+            if taken[k][1] > begin:
+                pieces.append((begin, taken[k][1]))
+            begin, k = max(begin, taken[k][2]), k + 1
+        if begin < end:
+            pieces.append((begin, end))
+        for a, b in pieces:
+            if (a, b) != (start, end):
+                a, b = trimmed(text, a, b)
+            if b - a >= LEFT:
+                out.append(("crf", a, b))
+    return out
+
+
+def tagged_spans(text: str, taken: list[Span]) -> list[Span]:
+    """Secrets that the field finds outside the base spans. A secret of several tokens is one span, cut by base spans."""
+    tagged: list[tuple[int, int]] = []
     file = None
     field = trained()
     for chain in chains(text):
         if file is None:
             file = file_features(text)
-        labels = field.decode(described(text, chain, file))
-        for (a, b), y in zip(chain, labels, strict=True):
-            if y == I and out and out[-1][2] <= a and out[-1][1] >= chain[0][0]:
-                out[-1] = ("crf", out[-1][1], b)
-            elif y != O:
-                out.append(("crf", a, b))
-    return [s for s in out if all(s[2] <= t[1] or s[1] >= t[2] for t in taken)]
+        for (a, b), y in zip(chain, field.decode(described(text, chain, file)), strict=True):
+            if y == I:
+                tagged[-1] = (tagged[-1][0], b)
+            elif y == B:
+                tagged.append((a, b))
+    return beside(text, tagged, merged(taken))
+
+
+def merged(taken: list[Span]) -> list[Span]:
+    """Spans by start, overlapping ones joined."""
+    out: list[Span] = []
+    for kind, a, b in taken:
+        if out and a < out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((kind, a, b))
+    return out
 
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -314,7 +414,12 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
-    """Columns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf; one row out for each row in, a null text is empty."""
+    """Columns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf.
+
+    One row out for each row in, in any order; rows that repeat a doc_id or a text are scanned each. A null text is an
+    empty one, a null doc_id stays null; an empty table gives an empty result. Texts of any length are scanned whole, in
+    time linear in their length. Of spans with one start the kinds come as listed. Other columns, whatever their names, are ignored.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = [spans(t) for t in texts(batch)]
@@ -326,7 +431,11 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The table with every secret in its text replaced by <secret>; a null text stays null, other columns stay as they are."""
+    """The table with every secret in its text replaced by <secret>; a null text stays null, an empty one empty.
+
+    Other columns stay as they are, whatever their names, and so do the number of rows, repeated ones and an empty table.
+    Overlapping spans, of one kind or of several, are replaced by one mark.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index("text")
