@@ -15,13 +15,17 @@ How a pair of similar texts is brought together, at any size:
    leave first, and the texts of the rest are fetched. Then every member is a query against the block's
    inverted lists. The longest lists are left aside, the short ones are heap-merged, and whoever reaches
    T - (lists left aside) is probed by binary search in these. Members that are already connected are not compared.
-5. Groups of several blocks get a second round: members that aren't yet connected with the pivot are queries
-   against every block. Every unconnected pair has such a member, so no link that matters is lost.
+5. Groups of several blocks get a second round for pairs that fell into different blocks and aren't connected. One of
+   the two isn't connected with the pivot; it asks. The group is divided by agreement: the tokens are dealt into one part
+   more than two similar sets can differ in (agreement_keys), so similar sets agree on a whole part, of about six tokens,
+   and only members that do are brought together. Rows grow with the members, not with their pairs. What still is
+   crowded is searched in pairs of blocks, both of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from heapq import merge
 from itertools import groupby
@@ -31,20 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import shingles, word_hashes
+from .bytewords import mix, shingles, word_hashes
 from .common import checkpoint, map_arrow, map_batches, narrow, raw_texts
 from .components import connected_components
 
 #: Counters of the frequency sketch.
 SKETCH = 1 << 16
-#: Members of a group that one task holds at a time.
-BLOCK = 2048
+#: Members of a group that one search holds at a time (of a pair of blocks: on each side).
+BLOCK = 512
 #: Texts of a list up to which its pairs are looked at one by one.
 FEW = 8
 #: The cost factor by which DivideSkip chooses how many lists to leave aside.
 MU = 0.01
-#: Longer merges are counted with bincount, which gives the same counts as the heap.
-HEAP = 4096
 
 
 def ceil_share(n, percent: int):
@@ -194,13 +196,8 @@ def divide_skip(sets: list[np.ndarray], percent: int, labels: list[int] | None =
         at = at[np.argsort(lengths[at], kind="stable")]
         aside = min(need - 1, int(need / (MU * np.log2(lengths[at[-1]]) + 1)))
         short, long = at[: len(at) - aside], at[len(at) - aside :]
-        if int(lengths[short].sum()) <= HEAP:
-            lists = [owners[begins[k] : begins[k] + lengths[k]].tolist() for k in short]
-            counts = {y: sum(1 for _ in run) for y, run in groupby(merge(*lists))}
-            near = [(y, c) for y, c in counts.items() if c >= need - aside]
-        else:
-            counted = np.bincount(np.concatenate([owners[begins[k] : begins[k] + lengths[k]] for k in short]), minlength=len(sets))
-            near = [(int(y), int(counted[y])) for y in np.flatnonzero(counted >= need - aside)]
+        runs = groupby(merge(*[owners[begins[k] : begins[k] + lengths[k]].tolist() for k in short]))
+        near = [(y, c) for y, run in runs if (c := sum(1 for _ in run)) >= need - aside]
         probes = np.sort(names[long])
         for y, c in near:
             m = int(sizes[y])
@@ -214,13 +211,13 @@ def divide_skip(sets: list[np.ndarray], percent: int, labels: list[int] | None =
     return links.made
 
 
-MEMBER = "pivot bigint, block int, doc_id bigint, label bigint, query boolean"
-MEMBERS = ["pivot", "block", "doc_id", "label", "query"]
+MEMBER = "held bigint, doc_id bigint, label bigint, query boolean"
+MEMBERS = ["held", "doc_id", "label", "query"]
 
 
 def by_block(rows: DataFrame, columns: list[str], found: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
-    """Run found() on the rows of each (pivot, block), which are at most about BLOCK, and give the rows that it returns."""
-    held = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "doc_id")
+    """Run found() on the rows of each value of held, which are at most about two BLOCKs, and give the rows that it returns."""
+    held = rows.repartition("held").sortWithinPartitions("held", "doc_id")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +231,10 @@ def by_block(rows: DataFrame, columns: list[str], found: Callable[[list[tuple]],
             made: list[tuple] = []
             cols = [batch.column(c).cast(pa.binary()).to_pylist() if c == "text" else batch.column(c).to_pylist() for c in columns]
             for row in zip(*cols, strict=True):
-                if row[:2] != key:
+                if row[0] != key:
                     if len(group) > 1:
                         made += found(group)
-                    key, group = row[:2], []
+                    key, group = row[0], []
                 group.append(row)
             yield out(made)
         if len(group) > 1:
@@ -247,18 +244,18 @@ def by_block(rows: DataFrame, columns: list[str], found: Callable[[list[tuple]],
 
 
 def search_blocks(members: DataFrame, own: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """members (pivot, block, doc_id, label, query) -> links (a, b) found inside each (pivot, block).
+    """members (held, doc_id, label, query) -> links (a, b) found among those of each value of held.
 
     Texts are fetched only for members that the bitmap filter lets through.
     """
 
     def alive(group: list[tuple]) -> list[tuple]:
-        _, _, _, labels, asks, n, bits = zip(*group, strict=True)
+        _, _, labels, asks, n, bits = zip(*group, strict=True)
         keep = in_reach(list(bits), np.array(n), np.array(labels), np.array(asks), percent)
-        return [row[:5] for row, k in zip(group, keep.tolist(), strict=True) if k]
+        return [row[:4] for row, k in zip(group, keep.tolist(), strict=True) if k]
 
     def found(group: list[tuple]) -> list[tuple]:
-        _, _, ids, labels, asks, texts = zip(*group, strict=True)
+        _, ids, labels, asks, texts = zip(*group, strict=True)
         sets = [shingle_set(t or b"", size) for t in texts]
         asking = [k for k, q in enumerate(asks) if q]
         pairs = divide_skip(sets, percent, list(labels), None if len(asking) == len(ids) else asking)
@@ -345,6 +342,52 @@ def list_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     return map_batches(held, run, "doc_id bigint, pivot bigint", 100_000).distinct()
 
 
+def agreement_keys(own: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set, of which two sets of a Jaccard similarity of percent or more have one in common.
+
+    Of sets of n and m tokens, at most (n + m)(100 - percent) / (100 + percent) tokens stand in one only. Tokens are dealt
+    by a hash into one part more than that, so one part at least is the same in both. The number of parts must be the
+    same too: it is that of the largest sets in two neighbouring bands of n, and a set is dealt for its own band and the next one
+    with the one below it. A key is a hash of the bands, the part and its tokens.
+    """
+    n = len(own)
+    width = -math.log(percent / 100) * 1.001
+    band = int(math.log(n) / width) if n else 0
+    out = []
+    for low in range(max(0, band - 1), band + 1) if n else ():
+        largest = int(math.exp((low + 2) * width)) + 1
+        parts = 2 * largest * (100 - percent) // (100 + percent) + 1
+        salted = mix(own + np.uint64(0x9E3779B97F4A7C15 * (low + 1) % 2**64))
+        sums = np.zeros(parts, np.uint64)
+        np.add.at(sums, (salted % np.uint64(parts)).astype(np.int64), mix(salted))
+        out.append(mix(sums + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(low)))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def agreeing(crowded: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """crowded (pivot, doc_id, label, main) -> members (held, doc_id, label, query) that agree on a part, in bounded blocks."""
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [agreement_keys(shingle_set(t, size), percent) for t in raw_texts(batch)]
+        offsets = np.cumsum([0, *map(len, found)])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found)))], ["doc_id", "keys"])
+
+    who = crowded.select("doc_id").distinct()
+    keyed = checkpoint(map_arrow(docs.join(who.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), keys, "doc_id bigint, keys array<bigint>"))
+    rows = checkpoint(crowded.join(keyed, "doc_id").select("pivot", F.explode("keys").alias("key"), "doc_id", "label", (F.col("label") != F.col("main")).alias("query")).distinct())
+    groups = rows.groupBy("pivot", "key").agg(
+        F.count_if("query").alias("a"), F.count_if(~F.col("query")).alias("t"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("same")
+    ).where("a > 0 and lo <> hi")
+    # near copies agree on many parts: of groups of the same members one is enough
+    groups = groups.groupBy("pivot", "a", "t", "same").agg(F.min("key").alias("key")).drop("same")
+    groups = groups.select("pivot", "key", (F.col("a") + F.col("t") <= BLOCK).alias("one"), F.ceil(F.col("a") / BLOCK).alias("na"), F.ceil(F.col("t") / BLOCK).alias("nt"))
+    own = "pmod(xxhash64(doc_id, key), if(query, na, nt))"
+    asked = f"concat(transform(sequence(0L, na - 1), x -> least(x, {own}) * na + greatest(x, {own})), if(nt > 0, transform(sequence(0L, nt - 1), y -> na * na + {own} * nt + y), array()))"
+    other = f"transform(sequence(0L, na - 1), x -> na * na + x * nt + {own})"
+    dealt = rows.join(groups, ["pivot", "key"]).select("pivot", "key", "doc_id", "label", "query", F.explode(F.expr(f"if(one, array(0L), if(query, {asked}, {other}))")).alias("block"))
+    return checkpoint(dealt.select(F.xxhash64("pivot", "key", "block").alias("held"), "doc_id", "label", "query"))
+
+
 def representative_links(docs: DataFrame, signed: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect the representatives of all similar classes."""
     own = signed.where("digest is not null").join(classes.select(F.col("first").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
@@ -355,22 +398,19 @@ def representative_links(docs: DataFrame, signed: DataFrame, classes: DataFrame,
     placed = joined.join(wide, "pivot", "left").select("pivot", F.expr("cast(pmod(xxhash64(doc_id), coalesce(blocks, 1)) as int)").alias("block"), "doc_id")
     pivots = blocks.select("pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("pivot").alias("doc_id"))
     members = placed.unionByName(pivots)
-    links = checkpoint(search_blocks(members.select("*", F.col("doc_id").alias("label"), F.lit(True).alias("query")), own, docs, size, percent))
+    links = checkpoint(search_blocks(members.select(F.xxhash64("pivot", "block").alias("held"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("query")), own, docs, size, percent))
     wide = checkpoint(wide)
     if wide.isEmpty():
         return links
     labels = connected_components(links).withColumnRenamed("vertex", "doc_id").withColumnRenamed("component", "label")
-    crowded = joined.join(wide, "pivot").union(wide.select(F.col("pivot").alias("doc_id"), "pivot", "blocks").select("pivot", "doc_id", "blocks"))
+    crowded = joined.join(wide, "pivot").select("pivot", "doc_id").union(wide.select("pivot", F.col("pivot").alias("doc_id")))
     crowded = crowded.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = crowded.groupBy("pivot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("pivot")
     main = labels.select(F.col("doc_id").alias("pivot"), F.col("label").alias("main"))
-    crowded = crowded.join(mixed, "pivot").join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    targets = crowded.where("doc_id <> pivot").select("pivot", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"), "doc_id", "label", F.lit(False).alias("query"))
-    asking = crowded.where("label <> main").select("pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "doc_id", "label", F.lit(True).alias("query"))
-    again = targets.unionByName(asking).groupBy("pivot", "block", "doc_id", "label").agg(F.max("query").alias("query"))
-    again = checkpoint(again)
-    if again.isEmpty():
+    crowded = checkpoint(crowded.join(mixed, "pivot").join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")))
+    if crowded.isEmpty():
         return links
+    again = agreeing(crowded, docs, size, percent)
     return links.unionByName(checkpoint(search_blocks(again, own, docs, size, percent)))
 
 

@@ -264,6 +264,48 @@ def test_join_equals_brute_force(spark, monkeypatch, block, few):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows)
 
 
+def test_similar_sets_agree_on_a_part():
+    r = np.random.default_rng(5)
+    linked = 0
+    for k in range(3000):
+        percent = (80, 85)[k % 2]
+        n = int(r.integers(1, 400))
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - int(r.integers(0, n // 5 + 1))], r.integers(0, 2**63, int(r.integers(0, n // 6 + 2))).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both) and both:
+            linked += 1
+            assert len(np.intersect1d(ngram_join.agreement_keys(a, percent), ngram_join.agreement_keys(b, percent)))
+    assert linked > 1000
+
+
+def test_crowded_groups_stay_bounded(spark, monkeypatch):
+    """Texts of 3 out of 20 paragraphs: common passages, no links. Rows of the second round grow with the texts."""
+    import itertools
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    word = random.Random(8)
+    paragraphs = [" ".join("".join(word.choice("abcdefghijkl") for _ in range(5)) for _ in range(40)) for _ in range(20)]
+    texts = ["\n".join(paragraphs[k] for k in c) for c in itertools.combinations(range(20), 3)]
+    seen = {}
+    whole = ngram_join.agreeing
+
+    def watched(*a):
+        seen["rows"] = whole(*a)
+        return seen["rows"]
+
+    monkeypatch.setattr(ngram_join, "agreeing", watched)
+    rows = {}
+    for n in (300, 1140):
+        table = spark.createDataFrame(list(enumerate(texts[::-1][:n])), "doc_id bigint, text string")
+        got = by_id(ngram_join.ngram_jaccard_join(table))
+        assert all(r.component_id == i for i, r in got.items())
+        rows[n] = seen["rows"].count()
+        assert seen["rows"].groupBy("held").count().agg({"count": "max"}).first()[0] <= 3 * ngram_join.BLOCK
+    assert rows[1140] < 8 * rows[300] + 20_000
+
+
 @pytest.mark.parametrize("rows", [3, 11, 1000])
 def test_lists_that_batches_split(spark, monkeypatch, rows):
     """A list's last texts get its pivots although another long list follows them in their batch."""
