@@ -378,6 +378,52 @@ def test_classifier_learns_held_out(spark):
     assert all((zlib.crc32(str(i).encode()) % 5 == 0) for i in got.doc_id)
 
 
+def brute_score(model, text):
+    """Word by word and window by window, with dictionaries."""
+    words = [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))]
+    row = {int(b): k for k, b in enumerate(model.seen)}
+    vectors = []
+    for w in words:
+        buckets = [b for b in toxicity.word_buckets(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0].tolist() if b != toxicity.BUCKETS]
+        assert len(buckets) == 1 + sum(len(w) >= k for k in toxicity.PREFIXES)
+        vectors.append(sum((model.parts[row[b]].astype(float) for b in buckets if b in row), np.zeros(model.parts.shape[1])) * toxicity.SLOTS / len(buckets))
+    vectors += [np.zeros(model.parts.shape[1])] * 2
+    best = []
+    for w in toxicity.WIDTHS:
+        at = {j: c for width, j, c in toxicity.COLUMNS if width == w}
+        for f in range(toxicity.FILTERS):
+            best.append(max((sum(vectors[k + j][c + f] for j, c in at.items()) for k in range(len(words))), default=0.0))
+    return toxicity.sigmoid(float(np.maximum(np.array(best) + model.bias, 0) @ model.out) + model.offset)
+
+
+def labelled_texts():
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    return duckdb.sql(f"select coalesce(text, ''), toxic, lang from '{d}/documents.parquet' join '{d}/labels.parquet' using (doc_id) where toxic in (0, 1) order by doc_id").fetchall()
+
+
+def test_scores_equal_brute_force_for_every_piece_size(monkeypatch):
+    rows = labelled_texts()
+    model = toxicity.train([t.encode() for t, _, _ in rows], [v for _, v, _ in rows], [x for _, _, x in rows])
+    texts = [t for t, _, _ in rows if len(t) < 4000][:60] + ["", " . ", "one", "Two words", "a b c", "é" * 50, "x" * 400, "!" * 300]
+    raw = [t.encode() for t in texts]
+    whole = model.scores(raw)
+    assert whole == pytest.approx([brute_score(model, t) for t in texts], abs=1e-5) and max(whole) > 0.5 > min(whole)
+    assert [model.scores([t])[0] for t in raw] == whole
+    for piece in (20, 50, 120, 1000):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert model.scores(raw) == whole
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 40 if k < 400 else None, "word " * (1 + k % 7) + ("z" * 3000 if k == 5 else ""), "en") for k in range(420)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    rows, weight = toxicity.training_rows(docs, labels, 10, 200)
+    assert all(sum(v == x for _, v, _ in rows) <= 10 and sum(len(t) for t, v, _ in rows if v == x) <= 200 for x in (0, 1)) and weight >= 1
+    assert rows == toxicity.training_rows(docs.repartition(9), labels, 10, 200)[0] and len(rows) > 8
+
+
 def test_score_depends_on_text_only(spark, odd, none):
     labels = spark.createDataFrame([(k, None, k % 2) for k in range(1, 9)] + [(4, 1, 7), (99, 1, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     got = toxicity.toxicity(odd, labels).collect()

@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 from larkspur.llm import ngram_join, secrets, toxicity
 
 from .conftest import LONG
-from .test_operators import brute_components, by_id, lower, near_copies
+from .test_operators import brute_components, brute_score, by_id, lower, near_copies
 
 
 def test_pipeline(spark, tmp_path, data):
@@ -24,8 +24,7 @@ def test_pipeline(spark, tmp_path, data):
     assert all(df.columns == whole.columns and df.schema["n_chars"].dataType == whole.schema["n_chars"].dataType for df in kept[1:-1])
 
     model = toxicity.fit(whole, labels)
-    projection = model.projection()
-    clean = [r for r in whole.collect() if model.score((r.text or "").encode(), projection) < model.thresholds.get(r.lang, 0.5)]
+    clean = [r for r in whole.collect() if brute_score(model, r.text or "") < model.thresholds.get(r.lang, 0.5)]
     assert sorted(map(str, clean)) == sorted(map(str, kept[1].collect())) and 0 < len(clean) < whole.count()
 
     brute = brute_components({r.doc_id: r.text for r in clean})
