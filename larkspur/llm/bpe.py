@@ -30,6 +30,8 @@ EXOTIC = regex.compile(r"[^\x00-ɏͰ-ͷΑ-ΡΣ-ϿЀ-ԯḀ-ỿ -⁤₠-₿぀-
 LATIN = re.compile(r"[\x00-\x1b\x20-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-ɏ‐-‧]*").fullmatch
 LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 NONE = np.iinfo(np.int64).max
+#: Longer words are proposed from all their bytes at once and mended where the check fails, not merged as a whole.
+LONG = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -130,10 +132,10 @@ class ByteBpe:
         lengths = np.array([len(w) for w in words], np.int64)
         buf = np.frombuffer(b"".join(words) + b"\0", np.uint8)
         ends = np.cumsum(lengths)
-        at = ends - lengths
+        long = np.flatnonzero(lengths > LONG).tolist()
         found = np.full(len(buf), -1, np.int64)  # the token that begins at each byte
-        live = np.flatnonzero(lengths)
-        start, at, stop = at[live], at[live], ends[live]
+        live = np.flatnonzero((lengths > 0) & (lengths <= LONG))
+        start, at, stop = (ends - lengths)[live], (ends - lengths)[live], ends[live]
         node = np.zeros(len(live), np.int64)
         best, after = np.full(len(live), -1, np.int64), start.copy()
         while len(start):
@@ -154,9 +156,82 @@ class ByteBpe:
             on = ~cut | (start < stop)
             if not on.all():
                 start, at, stop, node, best, after = start[on], at[on], stop[on], node[on], best[on], after[on]
+        for k in long:
+            begin, end = int(ends[k] - lengths[k]), int(ends[k])
+            tokens, sizes = self.longest(buf[begin:end])
+            places = self.chain(sizes)
+            found[begin + places] = tokens[places]
         places = np.flatnonzero(found >= 0)
         return found[places], np.searchsorted(places, ends)
 
+    def longest(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token that begins at each byte of a word, and its length; all bytes take their steps together."""
+        live = np.arange(len(word))
+        node = self.from_root[word]
+        tokens, sizes = self.token[node], np.ones(len(word), np.int64)
+        depth = 1
+        while True:
+            on = live + depth < len(word)
+            live, node = live[on], node[on]
+            if not len(live):
+                return tokens, sizes
+            key = node << 8 | word[live + depth]
+            k = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            goes = self.steps[k] == key
+            live, node = live[goes], self.leads[k[goes]]
+            depth += 1
+            token = self.token[node]
+            ends = token >= 0
+            tokens[live[ends]], sizes[live[ends]] = token[ends], depth
+
+    @staticmethod
+    def chain(sizes: np.ndarray) -> np.ndarray:
+        """Where tokens begin, if each is followed by the one at its end."""
+        out, at, steps = [], 0, sizes.tolist()
+        while at < len(steps):
+            out.append(at)
+            at += steps[at]
+        return np.array(out, np.int64)
+
+    def mended(self, word: bytes, ids: list[int], failing: list[int]) -> list[int]:
+        """The tokens of a long word whose proposal fails at some boundaries (numbers of the tokens before them).
+
+        Only the bytes around a failing boundary are merged anew, in stretches of bounded length. Then the boundaries of
+        these stretches are checked, and those that fail are mended in the next round with longer stretches, the
+        whole word at last. Once all adjacent pairs are compatible, the whole is what merging yields.
+        """
+        reach, most = 2, 64
+        while failing:
+            starts = np.concatenate(([0], np.cumsum([len(self.bytes_of[i]) for i in ids]))).tolist()
+            out: list[int] = []
+            borders: list[int] = []  # numbers of the new tokens before the boundaries to check
+            known: dict[bytes, list[int]] = {}
+            at, n = 0, 0
+            while n < len(failing):
+                a = max(at, failing[n] + 1 - reach)
+                b = failing[n] + 1 + reach
+                while n < len(failing) and failing[n] + 1 < b:  # what this stretch covers
+                    b = min(max(b, failing[n] + 1 + reach), a + most)
+                    n += 1
+                b = min(b, len(ids))
+                out += ids[at:a]
+                borders.append(len(out) - 1)
+                piece = word[starts[a] : starts[b]]
+                if piece not in known:
+                    known[piece] = self.merged(piece)
+                out += known[piece]
+                borders.append(len(out) - 1)
+                at = b
+            out += ids[at:]
+            ids = out
+            check = np.unique([k for k in borders if 0 <= k < len(ids) - 1]).astype(np.int64)
+            if len(check):
+                flat = np.array(ids, np.int64)
+                check = check[~self.compatible(flat[check], flat[check + 1])]
+            failing = check.tolist()
+            reach, most = 2 * reach, 4 * most
+        return ids
+
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: the pair of the lowest rank first, of equal ones the leftmost."""
         ids = [self.id_of[word[k : k + 1]] for k in range(len(word))]
@@ -204,8 +279,9 @@ class ByteBpe:
         failing = at[~self.compatible(flat[at], flat[at + 1])] if len(at) else at
         ids, bounds = flat.tolist(), [0, *ends.tolist()]
         out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        for k in np.unique(np.searchsorted(ends, failing, side="right")).tolist():
-            out[k] = self.merged(words[k])
+        owner = np.searchsorted(ends, failing, side="right")
+        for k in np.unique(owner).tolist():
+            out[k] = self.merged(words[k]) if len(words[k]) <= LONG else self.mended(words[k], out[k], (failing[owner == k] - bounds[k]).tolist())
         return out
 
     def split(self, text: str) -> list[str]:
@@ -268,7 +344,10 @@ def bpe_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Columns doc_id, n_tokens, ids_sha256 (of comma-joined ids), decoded_sha256 (of the text decoded from them).
 
-    One row out for each row in; a null text is an empty one. Texts of any length are encoded whole.
+    One row out for each row in, in any order; rows that repeat a doc_id or a text are encoded each. A null text is an
+    empty one (no tokens), a null doc_id stays null, and an empty table gives an empty result. Texts of any length are
+    encoded whole, words of any length in time near linear in them. Of merges of one rank the leftmost comes first. Other
+    columns, whatever their names, are ignored.
     """
     path = path or default_path()
 

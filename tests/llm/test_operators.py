@@ -648,6 +648,30 @@ def test_encoding_equals_the_library(bpe, library, texts):
         assert bpe.decode(ids) == text == library.decode(theirs.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("long", [8, 256])
+def test_long_words_equal_the_library(bpe, library, monkeypatch, long):
+    """Words beyond LONG are proposed and mended in another way, with the same result."""
+    import time
+
+    from larkspur.llm import bpe as module
+
+    monkeypatch.setattr(module, "LONG", long)
+    r = random.Random(long)
+    rows = []
+    for _ in range(1200):
+        n = r.randint(5, 300)
+        rows.append("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) if r.random() < 0.5 else "".join(r.choice(["the", "ing", "tion", "er", "aa", "xyz", "qu", "é"]) for _ in range(n // 2)))
+    rows += ["ha" * 3000, "a" * 5000, "".join(r.choice("0123456789abcdef") for _ in range(6000))]
+    bpe.pieces = {}
+    mine = bpe.encode_batch(rows)
+    bpe.pieces = {}
+    assert mine == [",".join(map(str, x.ids)) for x in library.encode_batch(rows, add_special_tokens=False)]
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    began = time.perf_counter()
+    ids = bpe.encode_batch([word])[0]
+    assert time.perf_counter() - began < 10 and bpe.decode(ids) == word
+
+
 def test_check_agrees_with_merging(bpe):
     r = random.Random(3)
     tokens = sorted(bpe.proposed.values())
