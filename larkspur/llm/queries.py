@@ -73,13 +73,14 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 def license_sql() -> str:
     """Every block against every template by counting; no filters."""
-    words = ", ".join(f"('{label}', '{w}', {len(set(t.split()))})" for label, t in TEMPLATES.items() for w in sorted(set(t.split())))
+    words = ", ".join(f"({k}, '{label}', '{w}', {len(set(t.split()))}, {len(t.split())})" for k, (label, t) in enumerate(TEMPLATES) for w in sorted(set(t.split())))
     at = lambda p: " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(p.split()))
     places = " UNION ALL ".join(f"SELECT rid, '{label}' AS label, unnest(list_filter(range(len(ws)), lambda i: {at(p)})) AS k FROM w" for p, label in PHRASES.items())
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents), w AS (SELECT rid, doc_id, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
-  pl AS ({places}), tw AS (SELECT * FROM (VALUES {words}) v(label, word, size)),
-  ln AS (SELECT rid, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d), bw AS (SELECT rid, n, unnest(list_distinct(regexp_extract_all(l, '{_WORD}'))) AS word FROM ln),
-  hit AS (SELECT rid, n, label, count(*)::DOUBLE / any_value(size) AS share FROM bw JOIN tw USING (word) GROUP BY rid, n, label HAVING 100 * count(*) >= {THRESHOLD} * any_value(size)),
+  pl AS ({places}), tw AS (SELECT * FROM (VALUES {words}) v(tid, label, word, size, step)),
+  iw AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM w),
+  bw AS (SELECT rid, tid, label, size, word, i // step - back AS block FROM iw JOIN tw USING (word), (VALUES (0), (1)) o(back) WHERE i // step >= back),
+  hit AS (SELECT rid, label, count(DISTINCT word)::DOUBLE / any_value(size) AS share FROM bw GROUP BY rid, tid, label, block HAVING 100 * count(DISTINCT word) >= {THRESHOLD} * any_value(size)),
   p AS (SELECT rid, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY rid),
   q AS (SELECT rid, max(share) AS share FROM hit GROUP BY rid), lb AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM pl UNION SELECT rid, label FROM hit) GROUP BY rid)
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

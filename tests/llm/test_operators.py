@@ -441,13 +441,13 @@ def brute_license(text):
     places = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
     found = {label for _, label in places}
     score = 1.0 if places else 0.0
-    for line in (text or "").split("\n"):
-        b = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(line)))
-        for label, t in licenses.TEMPLATES.items():
-            t = set(t.split())
-            if 100 * len(t & b) >= licenses.THRESHOLD * len(t):
+    for label, t in licenses.TEMPLATES:
+        own, step = set(t.split()), len(t.split())
+        for k in range(0, len(w), step):
+            both = len(own & set(w[k : k + 2 * step]))
+            if 100 * both >= licenses.THRESHOLD * len(own):
                 found.add(label)
-                score = max(score, len(t & b) / len(t))
+                score = max(score, both / len(own))
     at = [k for k, _ in places]
     return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(found)), pytest.approx(score))
 
@@ -455,16 +455,21 @@ def brute_license(text):
 def test_license_scan(spark, texts):
     r = random.Random(4)
     rows = dict(texts)
-    for k, t in enumerate(licenses.TEMPLATES.values()):
+    for k, (_, t) in enumerate(licenses.TEMPLATES):
         for j in range(6):
             w = t.split()
-            for _ in range(j):
+            for _ in range(j * len(w) // 14):
                 w[r.randrange(len(w))] = "other"
-            rows[10_000 + 10 * k + j] = "Words before\n" + ", ".join(w).upper() + "\ncc by CC-BY cc\nby"
+            wrapped = "".join(x + r.choice([", ", " ", "\n# "]) for x in w)
+            rows[10_000 + 10 * k + j] = "Words before\n" * r.randint(0, 9) + wrapped.upper() + r.choice(["", "\ncc by CC-BY cc\nby"])
+    rows[20_000] = "This wor\u212a is licensed under a creative commons attribution 4.0"
+    rows[20_001] = "L\u0130CENSED UNDER CC BY NC 4.0 \u212a"
+    rows[20_002] = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
     got = by_id(licenses.license_scan(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")))
     for i, t in rows.items():
         g = got[i]
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels, g.labels, g.score) == brute_license(t), t[:200]
+    assert got[20_002].labels == "bsd" and got[20_000].labels == "" and all(got[10_000 + 10 * k].labels for k in range(len(licenses.TEMPLATES)))
 
 
 def test_license_odd(odd, none):
