@@ -137,14 +137,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     size is the UTF-8 length plus 1; a null text counts as an empty one, in size, checksum and group. One row out for
     each row in; rows with equal texts share a shard. Slots count from 0 in every shard without gaps, in the order of a
-    hash of doc_id (null first). Shards may be empty when groups are few or huge. Other columns are ignored.
+    hash of the doc_id and the text; rows without a doc_id are dealt by the partition that they were read in, so that very
+    many of them don't meet in one task. Shards may be empty when groups are few or huge. Texts of any length count whole.
+    An empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     rows = narrow(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest"))
     rows = checkpoint(rows)
     cuts = minimax_cuts(lambda nodes: opened(rows, nodes), shards)
     shard = sum(((F.col("digest") > cut).cast("int") for cut in cuts), F.lit(0))
-    placed = rows.withColumn("shard", shard).withColumn("bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3))
+    placed = rows.withColumn("shard", shard).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest", F.when(F.col("doc_id").isNull(), F.spark_partition_id())), F.lit(4096)))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
     offsets = F.broadcast(counts.select("shard", "bucket", before.alias("before")))  # 4,096 rows a shard at most
