@@ -7,15 +7,22 @@ by the largest one are their probabilities. So the expected tokens of the sample
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, scratch
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells that may be broadcast to the documents; beyond, Spark joins them in its own way.
 BROADCAST_CELLS = 10_000
 NONE = "(none)"
+#: What parts tokens, and the symbols of marked-up text.
+WHITE, MARKS = " \t\n", "#$%&*"
+#: Raking goes on until no margin is off by more than this share of it, or as long as ROUNDS more rounds help.
+TOLERANCE, ROUNDS = 1e-6, 5
 
 
 def times(char: str) -> Column:
@@ -26,14 +33,15 @@ def times(char: str) -> Column:
 def celled(docs: DataFrame) -> DataFrame:
     """The table with mix_source, mix_lang, mix_topic and mix_tokens; null sources and languages are one value.
 
-    Tokens are a text's spaces plus one, and none without text. The topic is its form: table, marked (symbols), loud
-    (exclamations), note (short), long or prose.
+    Tokens are a text's spaces, tabs and line ends plus one, and none without text. The topic is its form: table, marked
+    (symbols), loud (exclamations), note (short), long or prose.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     named = [F.coalesce(docs[c].cast("string"), F.lit(NONE)).alias(f"mix_{c}") for c in ("source", "lang")]
     rows = docs.select("*", *named, F.coalesce(docs["text"].cast("string"), F.lit("")).alias("mix_text"))
-    marks = times("#") + times("%") + times("$")
-    counted = rows.select(*docs.columns, "mix_source", "mix_lang", F.when(F.col("mix_text") == "", 0).otherwise(times(" ") + 1).cast("bigint").alias("mix_tokens"), times("|").alias("mix_bars"), marks.alias("mix_marks"), times("!").alias("mix_bangs"))
+    marks = sum((times(c) for c in MARKS[1:]), times(MARKS[0]))
+    white = sum((times(c) for c in WHITE[1:]), times(WHITE[0]))
+    counted = rows.select(*docs.columns, "mix_source", "mix_lang", F.when(F.col("mix_text") == "", 0).otherwise(white + 1).cast("bigint").alias("mix_tokens"), times("|").alias("mix_bars"), marks.alias("mix_marks"), times("!").alias("mix_bangs"))
     n = F.col("mix_tokens")
     topic = (
         F.when(F.col("mix_bars") * 4 > n, "table").when(F.col("mix_marks") * 4 > n, "marked").when(F.col("mix_bangs") * 4 > n, "loud")
@@ -49,23 +57,35 @@ def smoothed(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return sums.crossJoin(F.broadcast(whole)).select(dimension, (F.pow("total", F.lit(power)) / F.col("whole")).alias("target"))  # one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (dimensions, base) -> with weight, whose margins are the targets (dimension, target) of the total.
 
-    Values of a margin without a target get weight 0. Each step is an aggregate by one margin, joined back.
+    Values of a margin without a target get weight 0. Each step is an aggregate by one margin, joined back. After every
+    `rounds` rounds the margins are compared with their targets. Where no weights of these cells meet all targets (say, if
+    each source has a language of its own), raking ends once the largest error no longer falls by a tenth: the last margin
+    holds, the others as nearly as they got, and a warning names the error.
     """
     total = float(cells.agg(F.sum("base").alias("t")).first().t or 0)
     out = checkpoint(cells.withColumn("weight", F.col("base").cast("double")))
-    for _ in range(rounds):
-        for dimension, target in targets.items():
-            sums = out.groupBy(dimension).agg(F.sum("weight").alias("now"))
-            factor = sums.join(target, dimension, "left").select(dimension, F.expr(f"if(now > 0, coalesce(target, 0D) * {total}D / now, 0D)").alias("factor"))
-            out = out.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        out = checkpoint(out)
-    return out
-
-
-def mixing_weights(rows: DataFrame, power: float = 0.8, rounds: int = 5, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    before = float("inf")
+    while True:
+        for _ in range(rounds):
+            for dimension, target in targets.items():
+                sums = out.groupBy(dimension).agg(F.sum("weight").alias("now"))
+                factor = sums.join(target, dimension, "left").select(dimension, F.expr(f"if(now > 0, coalesce(target, 0D) * {total}D / now, 0D)").alias("factor"))
+                out = out.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            out = checkpoint(out)
+        off = [out.groupBy(d).agg(F.sum("weight").alias("now")).join(t, d).select(F.expr(f"if(target > 0, abs(now / (target * {total}D) - 1), 0D)").alias("off")) for d, t in targets.items()]
+        worst = reduce(DataFrame.union, off).agg(F.max("off").alias("off")).first().off or 0.0
+        if worst <= tolerance:
+            return out
+        if worst > 0.9 * before:
+            warnings.warn(f"no weights meet all targets: a margin is off by a share of {worst:.3g}", stacklevel=2)
+            return out
+        before = worst
+
+
+def mixing_weights(rows: DataFrame, power: float = 0.8, rounds: int = ROUNDS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """From celled rows, one row for each cell: source, lang, topic, base (tokens), weight (fitted tokens), probability."""
     names = [f"mix_{d}" for d in DIMENSIONS]
     cells = rows.groupBy(*names).agg(F.sum("mix_tokens").alias("base"))
@@ -85,25 +105,27 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 def sampled(rows: DataFrame, power: float, rounds: int, seed: int, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """Celled rows with mix_weight (of their cell), mix_probability and mix_kept."""
-    cells = mixing_weights(rows, power, rounds, targets)
-    cells = checkpoint(cells.select(*[F.col(d).alias(f"mix_{d}") for d in DIMENSIONS], F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability")))
+    with scratch(rows.sparkSession):
+        cells = mixing_weights(rows, power, rounds, targets)
+        cells = checkpoint(cells.select(*[F.col(d).alias(f"mix_{d}") for d in DIMENSIONS], F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability")), out=True)
     if cells.count() <= BROADCAST_CELLS:
         cells = F.broadcast(cells)
     out = rows.join(cells, [f"mix_{d}" for d in DIMENSIONS])
     return out.withColumn("mix_kept", draw(F.col("doc_id"), seed) < F.col("mix_probability"))
 
 
-def mix(docs: DataFrame, power: float = 0.8, rounds: int = 5, seed: int = 17, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def mix(docs: DataFrame, power: float = 0.8, rounds: int = ROUNDS, seed: int = 17, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The table's rows with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight (of its cell), mix_probability, mix_kept.
 
     One row out for each row in. Null sources and languages are one value each; a cell without tokens is kept whole.
-    Rows that repeat a doc_id are kept or dropped alike within a cell. Columns of the table named mix_... are replaced. An empty table gives an empty result.
+    Rows that repeat a doc_id are kept or dropped alike within a cell, and so are all rows without one. Texts of any
+    length count whole. Columns of the table named mix_... are replaced, others stay. An empty table gives an empty result.
     """
     out = sampled(celled(docs), power, rounds, seed, targets)
     return out.select(*[c for c in docs.columns if not c.startswith("mix_")], *[f"mix_{c}" for c in ("source", "lang", "topic", "tokens", "weight", "probability", "kept")])
 
 
-def mixing_report(docs: DataFrame, power: float = 0.8, rounds: int = 5, seed: int = 17) -> DataFrame:
+def mixing_report(docs: DataFrame, power: float = 0.8, rounds: int = ROUNDS, seed: int = 17) -> DataFrame:
     """Columns doc_id, source, lang, topic, tokens, weight (4 decimals), probability (6), kept of every row. Texts are read once."""
     slim = checkpoint(celled(docs.select("doc_id", "text", "source", "lang")).drop("text", "source", "lang"))
     names = ("source", "lang", "topic", "tokens", "weight", "probability", "kept")
