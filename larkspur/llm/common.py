@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,30 +17,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. With the longest documents (about 0.1 MB) a batch stays near 100 MB.
-ARROW_ROWS = 1000
+#: Bytes of one Arrow batch, about; one longer row is a batch of its own.
+ARROW_BYTES = 4 << 20
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("larkspur_scratch", default=())
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; a folder of our own is for tests only."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local session may do without one: executors
+    elsewhere could not see a folder of this machine."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-checkpoint-"))
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-checkpoint-"))
+    return str(sc.getCheckpointDir())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that checkpoint() writes inside are deleted at the end, but for those that go out."""
+    folder = f"{ensure_checkpoint_dir(spark)}/larkspur-{uuid.uuid4().hex}"
+    token = _SCRATCH.set((*_SCRATCH.get(), folder))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        delete(spark, folder)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, out: bool = False) -> DataFrame:
     """Write df once as a table in the shared checkpoint folder and read it back: lineage and statistics start anew.
 
+    Inside scratch() the table lasts as long as that; out: as long as the scratch() around it, or for good.
     (A frame from DataFrame.checkpoint() keeps size estimates of its plan. In a loop of joins these multiply, and their
     digits alone soon cost more than the data.)
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/larkspur-{uuid.uuid4().hex}"
+    stack = (ensure_checkpoint_dir(df.sparkSession), *_SCRATCH.get())
+    folder = stack[max(0, len(stack) - 1 - out)]
+    path = f"{folder}/larkspur-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,10 +84,12 @@ def ship(spark: SparkSession) -> None:
     sc._larkspur_shipped = True
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = ARROW_ROWS) -> DataFrame:
-    """mapInArrow with batches of at most `rows` rows."""
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with batches of about ARROW_BYTES at most, unless the session has a bound of its own."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, str(2**31 - 1))) >= 1 << 26:
+        conf.set(key, str(ARROW_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, scratch
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -16,6 +16,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     links onto the roots; at least half of the linked vertices go in each round. Loops and repeated links are
     harmless. Vertices without links aren't listed; an empty table gives an empty result.
     """
+    with scratch(links.sparkSession):
+        return _components(links)
+
+
+def _components(links: DataFrame) -> DataFrame:
     edges = checkpoint(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while not edges.isEmpty():
@@ -38,5 +43,5 @@ def connected_components(links: DataFrame) -> DataFrame:
             up = parents.select(F.col("vertex").alias("component"), "parent")
             found = found.join(up, "component", "left").select("vertex", F.coalesce("parent", "component").alias("component"))
     if found is None:
-        return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
-    return found
+        found = edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+    return checkpoint(found, out=True)

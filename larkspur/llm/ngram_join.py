@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix, shingles, word_hashes
-from .common import checkpoint, map_arrow, map_batches, narrow, raw_texts
+from .common import checkpoint, map_arrow, map_batches, narrow, raw_texts, scratch
 from .components import connected_components
 
 #: Counters of the frequency sketch.
@@ -339,7 +339,7 @@ def list_pairs(tokens: DataFrame, percent: int) -> DataFrame:
         if len(kept[0]):
             yield batch_of(pairs(kept, True))
 
-    return map_batches(held, run, "doc_id bigint, pivot bigint", 100_000).distinct()
+    return map_batches(held, run, "doc_id bigint, pivot bigint").distinct()
 
 
 def agreement_keys(own: np.ndarray, percent: int) -> np.ndarray:
@@ -419,16 +419,19 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
     One row out for each row in. Null and wordless texts have no shingles, link with nothing and are their own
     component. Fewer than `size` words: the whole sequence is the one shingle. Rows that repeat a doc_id count as
-    one node. A row whose doc_id is null takes its class's component, or null if it has none. Other columns are ignored.
+    one node. A row whose doc_id is null takes its class's component, or null if it has none. Texts of any length are
+    compared whole. An empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
     docs = narrow(docs, "doc_id", "text")
-    signed = checkpoint(signatures(docs, size, percent))
-    classes = checkpoint(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first")))
-    links = representative_links(docs, signed, classes, size, percent)
-    found = connected_components(links).select(F.col("vertex").alias("first"), "component")
-    named = classes.join(found, "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
+    with scratch(docs.sparkSession):
+        signed = checkpoint(signatures(docs, size, percent))
+        slim = checkpoint(signed.select("doc_id", "n", "digest"), out=True)
+        classes = checkpoint(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first")))
+        links = representative_links(docs, signed, classes, size, percent)
+        found = connected_components(links).select(F.col("vertex").alias("first"), "component")
+        named = checkpoint(classes.join(found, "first", "left").select("digest", F.coalesce("component", "first").alias("component")), out=True)
     return (
-        signed.select("doc_id", "n", "digest").join(named.hint("merge"), "digest", "left")
+        slim.join(named.hint("merge"), "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     )
 
@@ -436,7 +439,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 def drop_near_copies(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """The table with one row for each component of linked documents: that of its smallest doc_id.
 
-    Wordless documents are linked with nothing and stay. Of rows that repeat a doc_id one stays. Rows without a doc_id stay.
+    Null, empty and wordless texts are linked with nothing and stay. Of rows that repeat a doc_id one stays. Rows without a
+    doc_id stay. Texts of any length are compared whole; columns of any name stay as they are; an empty table gives
+    an empty result.
     """
     found = ngram_jaccard_join(docs, size, percent)
     copies = checkpoint(found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct())

@@ -74,6 +74,40 @@ def test_sharding_is_minimax(spark, texts, hot):
         assert sorted(part.slot) == list(range(len(part)))
 
 
+def test_sharding_without_ids(spark):
+    """Rows without a doc_id, rows that repeat one, and rows alike in all columns still fill the slots without gaps."""
+    rows = [(None, f"text {k % 50}") for k in range(600)] + [(7, f"text {k % 9}") for k in range(300)] + [(k, "same") for k in range(100)] + [(None, None)] * 20
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).toPandas()
+    assert len(got) == len(rows)
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    assert got.groupby("text_crc32").shard.nunique().max() == 1
+
+
+def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
+    from larkspur.llm import common
+
+    class Cluster:
+        sparkContext = type("C", (), {"master": "yarn", "getCheckpointDir": staticmethod(lambda: None)})()
+        conf = type("D", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.ensure_checkpoint_dir(Cluster())
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from larkspur.llm import common
+
+    root = common.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    with common.scratch(spark):
+        common.checkpoint(spark.range(3).toDF("x"))
+        kept = common.checkpoint(spark.range(4).toDF("x"), out=True)
+    assert kept.count() == 4 and len(set(os.listdir(root)) - before) == 1
+
+
 def test_sharding_odd(odd, none):
     got = sharding.shard_by_bytes(odd).collect()
     assert len(got) == 10 and {r.size for r in got if r.doc_id in (1, 2)} == {1} and len({r.shard for r in got if r.doc_id in (4, 5)}) == 1
@@ -512,6 +546,10 @@ def test_pii_checks_and_context(spark, odd, none):
     rows = [(1, "pay by card 4111111111111111"), (2, "number 4111111111111111"), (3, "4111111111111112"), (4, "account GB82WEST12345698765432"), (5, "GB83WEST12345698765432")]
     got = by_id(pii.pii_scan(spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert got[1].score > got[2].score > 0 and got[3].n_card == 0 and got[3].score == 0 and got[4].n_iban == 1 and got[4].spans == "iban:8:30" and got[5].n_iban == 0
+    assert (got[1].n_flagged, got[3].n_flagged) == (1, 0)
+    near = {1: "the ship saw 10.0.0.1 there", 2: "10.0.0.1 is the server address", 3: "IP:10.0.0.1", 4: "host 10.0.0.1, 10.0.0.2", 5: "x" * 50 + "ip " + "y" * 45 + " 10.0.0.1", 6: "a hotel +1 (017) 555 77 13", 7: "call +1 (017) 555 77 13", 8: "10.0.0.1 ipx"}
+    near = by_id(pii.pii_scan(spark.createDataFrame(list(near.items()), "doc_id bigint, text string")))
+    assert {i: (round(r.score, 3), r.n_flagged) for i, r in near.items()} == {1: (0.5, 0), 2: (0.7, 1), 3: (0.7, 1), 4: (0.7, 2), 5: (0.5, 0), 6: (0.6, 1), 7: (0.8, 1), 8: (0.5, 0)}
     assert pii.pii_scan(odd).count() == 10 and pii.pii_scan(none).count() == 0
 
 
@@ -606,14 +644,31 @@ def test_media_payload_may_look_like_a_tag(spark):
 
 def test_raking_meets_the_margins(spark, documents):
     rows = mixing.celled(documents)
-    cells = mixing.mixing_weights(rows, power=0.7, rounds=30).toPandas()
-    for d in mixing.DIMENSIONS:
-        now = cells.groupby(d).base.sum()
-        target = now**0.7 / (now**0.7).sum() * cells.base.sum()
-        assert np.allclose(cells.groupby(d).weight.sum(), target, rtol=0.02)
+    for own in ({"power": 0.7}, {}):  # {}: the production setting
+        cells = mixing.mixing_weights(rows, **own).toPandas()
+        for d in mixing.DIMENSIONS:
+            now = cells.groupby(d).base.sum()
+            power = own.get("power", 0.8)
+            target = now**power / (now**power).sum() * cells.base.sum()
+            assert np.allclose(cells.groupby(d).weight.sum(), target, rtol=2e-6)
     assert cells.probability.max() == pytest.approx(1) and (cells.probability > 0).all()
 
 
+def test_tokens_and_topics(spark):
+    rows = [(1, "word\n" * 5000, "x", "x"), (2, "a\tb c", "x", "x"), (3, "# % $ & * x", "x", "x"), (4, "", "x", "x"), (5, None, "x", "x")]
+    got = by_id(mixing.celled(spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")))
+    assert {i: (r.mix_tokens, r.mix_topic) for i, r in got.items()} == {1: (5001, "long"), 2: (3, "note"), 3: (6, "marked"), 4: (0, "note"), 5: (0, "note")}
+
+
+def test_targets_that_cannot_be_met(spark):
+    """Each source with a language of its own: raking ends, and the last margin holds."""
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 30)], "source string, lang string, base bigint")
+    goals = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, target double"), "lang": spark.createDataFrame([("x", 0.25), ("y", 0.75)], "lang string, target double")}
+    with pytest.warns(UserWarning, match="no weights meet"):
+        got = mixing.rake(cells, goals).toPandas()
+    assert sorted(got.weight.round(9)) == [10, 30]
+
+
 def test_sample_is_calibrated(spark):
     got = mixing.mixing_report(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).toPandas()
     parts = got.groupby(["lang", "topic"]).agg(n=("kept", "size"), kept=("kept", "sum"), p=("probability", "sum"))
