@@ -1,7 +1,9 @@
 """MPEG audio columns: a reader that resynchronises, and a writer that carries bytes in valid, silent frames.
 
-Reading: ID3v2 and ID3v1 tags are skipped and noted, frame headers are found again after damage (see resumes),
-a Xing or Info table of the first frame is parsed, frame checksums (CRC-16) are verified, and exact durations and the byte offset of every frame are kept.
+Reading: ID3v2 and ID3v1 tags are skipped and noted (between frames too), frame headers are found again after damage
+(see resumes), a Xing, Info or VBRI table of the first frame is parsed, checksums (CRC-16) of Layer III frames are verified,
+and exact durations and the byte offset of every frame are kept. Checksums of Layers I and II, which cover other bits, and
+free-format frames, which state no size, are not read.
 
 Writing: MPEG-1 Layer III, 48 kHz, mono. The side information says that no granule has any coded bits, so a player hears
 silence; 576 bytes of payload follow in each frame as ancillary data, which the format passes on as it is.
@@ -178,6 +180,19 @@ def xing(data: bytes, at: int, h: Header) -> dict | None:
     return out
 
 
+def vbri(data: bytes, at: int) -> dict | None:
+    """The other kind of variable-bitrate table, 32 bytes after the header of the first frame, or None: bytes and frames
+    of the stream, and the size of each of its stretches (entries of 1 to 4 bytes, times a scale)."""
+    k = at + 36
+    if data[k : k + 4] != b"VBRI" or len(data) < k + 26:
+        return None
+    number = lambda place, n: int.from_bytes(data[k + place : k + place + n], "big")
+    entries, scale, width, per = (number(place, 2) for place in (18, 20, 22, 24))
+    if not 1 <= width <= 4 or len(data) < k + 26 + entries * width:
+        return None
+    return {"kind": "VBRI", "frames": number(14, 4), "bytes": number(10, 4), "frames_per_entry": per, "toc": [scale * number(26 + j * width, width) for j in range(entries)]}
+
+
 def alike(h: Header, audio: Audio) -> bool:
     """A stream keeps its version, layer and sample rate; a header of another kind is damage."""
     known = audio.frames[-1][1] if audio.frames else h
@@ -210,12 +225,15 @@ def parse(data: bytes) -> Audio:
         if h and end < at + h.size <= whole and resumes(data, at, whole, h, out):
             end = whole  # these letters are a frame's own bytes
         if h and at + h.size <= end and (resumes(data, at, end, h, out) if lost else alike(h, out)):
-            if not out.frames and out.table is None and (table := xing(data, at, h)):
+            if not out.frames and out.table is None and (table := xing(data, at, h) or vbri(data, at)):
                 out.table, out.table_at = table, at
             else:
                 out.frames.append((at, h))
             at, lost = at + h.size, False
             continue
+        if (size := id3v2(data, at)[0]) and at + size <= end:  # a tag between frames, as in joined files
+            at += size
+            continue
         if h and at + h.size > end and not lost:
             out.truncated += 1
         out.resyncs += not lost
@@ -329,7 +347,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Digests of every text stored as MPEG audio and read back; one row out for each row in, a null text is empty.
 
     Columns doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the payload as read back),
-    media_bytes, media_sha256 (of the stored stream), feature. Equal texts give equal values.
+    media_bytes, media_sha256 (of the stored stream), feature, offsets (of every frame, for seeking). Equal texts give equal
+    values. Rows that repeat a doc_id or a text come out each; a null doc_id stays null; an empty table gives an empty
+    result. Texts of any length are stored whole. Other columns, whatever their names, are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -338,10 +358,10 @@ def media_columns(docs: DataFrame) -> DataFrame:
             media = pack(padded(raw))
             audio = parse(media)
             back = unpack(media, audio)
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(audio)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(audio), [o for o, _ in audio.frames]))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "offsets"]
         columns = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", *names])
 
-    return map_arrow(narrow(docs, "doc_id", "text"), run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return map_arrow(narrow(docs, "doc_id", "text"), run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, offsets array<bigint>")

@@ -624,6 +624,56 @@ def test_media_survives_damage():
     assert media.parse(whole + b"TAG" + b"title".ljust(125, b"\0")).tags["TIT2"] == "title"
 
 
+def plain_frames(data):
+    """An independent reader of whole streams: no resynchronisation, sizes and times straight from the header's bits."""
+    def bit_crc(bits):
+        crc = 0xFFFF
+        for b in bits:
+            crc = ((crc << 1) ^ (0x8005 if (crc >> 15) ^ b else 0)) & 0xFFFF
+        return crc
+
+    at = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]) if data[:3] == b"ID3" else 0
+    frames = []
+    while at < len(data):
+        word = int.from_bytes(data[at : at + 4], "big")
+        assert word >> 21 == 0x7FF and word >> 19 & 3 == 3 and word >> 17 & 3 == 1 and word >> 6 & 3 == 3  # MPEG-1, Layer III, mono
+        kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320][word >> 12 & 15]
+        rate = [44100, 48000, 32000][word >> 10 & 3]
+        if not word >> 16 & 1:
+            held = data[at + 2 : at + 4] + data[at + 6 : at + 23]
+            assert bit_crc([x >> k & 1 for x in held for k in range(7, -1, -1)]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        frames.append((at, 1152 / rate))
+        at += 144000 * kbps // rate + (word >> 9 & 1)
+    assert at == len(data)
+    return frames
+
+
+def test_media_against_an_independent_reader(spark, documents, texts):
+    got = by_id(media.media_columns(documents.limit(60)))
+    for i, r in got.items():
+        raw = texts[i].encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
+        stored = media.pack(payload)
+        frames = plain_frames(stored)[1:]  # the first one holds the table
+        assert r.offsets == [o for o, _ in frames] and f"seconds={sum(s for _, s in frames):.6f};" in r.feature and f"frames={len(frames)};" in r.feature
+        assert b"".join(stored[o + 23 : o + 23 + 576] for o, _ in frames) == payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+
+
+def test_media_reads_vbri_and_joined_files():
+    payload = bytes(576 * 3)
+    whole = media.pack(payload)
+    tag = media.id3v2(whole)[0]
+    first = media.header(whole[tag : tag + 4])
+    table = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (2016).to_bytes(4, "big") + (3).to_bytes(4, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + bytes([9, 7])
+    stream = whole[:tag] + (whole[tag : tag + 4] + bytes(32) + table).ljust(first.size, b"\0") + whole[tag + first.size :]
+    audio = media.parse(stream)
+    assert audio.table == {"kind": "VBRI", "frames": 3, "bytes": 2016, "frames_per_entry": 2, "toc": [18, 14]} and len(audio.frames) == 3
+    joined = media.parse(whole + whole)
+    assert len(joined.frames) == 7 and joined.resyncs == 0 and joined.skipped == 0
+
+
 def test_media_payload_may_look_like_a_tag(spark):
     for units in (1, 2, 8, 9):
         for k in range(574):
