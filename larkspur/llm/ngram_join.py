@@ -13,13 +13,16 @@ How a pair of similar texts is brought together, at any size:
    broadcast that happens to fit a small table would say nothing about a large one.
 4. A group is searched in blocks of bounded size, each with the pivot. Members whose bitmaps rule out every other one
    leave first, and the texts of the rest are fetched. Then every member is a query against the block's
-   inverted lists. The longest lists are left aside, the short ones are heap-merged, and whoever reaches
+   inverted lists. The longest lists are left aside, the short ones are merged, and whoever reaches
    T - (lists left aside) is probed by binary search in these. Members that are already connected are not compared.
+   (Merging is one stable sort of the lists put end to end, at every size; a heap in Python takes the same steps at
+   a hundred times the cost. With it, a merged entry is far cheaper than a probe, which MU says.)
 5. Groups of several blocks get a second round for pairs that fell into different blocks and aren't connected. One of
-   the two isn't connected with the pivot; it asks. The group is divided by agreement: the tokens are dealt into one part
+   the two isn't connected with the pivot; it asks. Those that ask and the others are cut into blocks, and pairs of
+   blocks are searched, both sides of bounded size. A member goes into as many pairs as there are blocks that ask. Where
+   these are more than WIDE, the group is first divided by agreement: the tokens are dealt into one part
    more than two similar sets can differ in (agreement_keys), so similar sets agree on a whole part, of about six tokens,
-   and only members that do are brought together. Rows grow with the members, not with their pairs. What still is
-   crowded is searched in pairs of blocks, both of bounded size.
+   and only members that do are brought together. Both ways find every link.
 """
 
 from __future__ import annotations
@@ -27,8 +30,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from heapq import merge
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,12 @@ from .components import connected_components
 SKETCH = 1 << 16
 #: Members of a group that one search holds at a time (of a pair of blocks: on each side).
 BLOCK = 512
+#: Blocks of asking members from which a group is divided by agreement.
+WIDE = 64
 #: Texts of a list up to which its pairs are looked at one by one.
 FEW = 8
 #: The cost factor by which DivideSkip chooses how many lists to leave aside.
-MU = 0.01
+MU = 0.5
 
 
 def ceil_share(n, percent: int):
@@ -179,7 +182,7 @@ def divide_skip(sets: list[np.ndarray], percent: int, labels: list[int] | None =
         return []
     tokens = np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
-    owners = np.repeat(np.arange(len(sets)), sizes)[order]
+    owners = np.repeat(np.arange(len(sets), dtype=np.int16 if len(sets) < 1 << 15 else np.int64), sizes)[order]
     names, begins = np.unique(tokens[order], return_index=True)
     lengths = np.diff(np.append(begins, len(tokens)))
     for x in range(len(sets)) if queries is None else queries:
@@ -196,14 +199,17 @@ def divide_skip(sets: list[np.ndarray], percent: int, labels: list[int] | None =
         at = at[np.argsort(lengths[at], kind="stable")]
         aside = min(need - 1, int(need / (MU * np.log2(lengths[at[-1]]) + 1)))
         short, long = at[: len(at) - aside], at[len(at) - aside :]
-        runs = groupby(merge(*[owners[begins[k] : begins[k] + lengths[k]].tolist() for k in short]))
-        near = [(y, c) for y, run in runs if (c := sum(1 for _ in run)) >= need - aside]
+        merged = np.sort(np.concatenate([owners[begins[k] : begins[k] + lengths[k]] for k in short.tolist()]), kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+        counts = np.diff(np.append(starts, len(merged)))
+        enough = counts >= need - aside
+        near, shared = merged[starts[enough]].astype(np.int64), counts[enough]
+        fits = (100 * np.minimum(sizes[near], n) >= percent * np.maximum(sizes[near], n)) & (near != x)
         probes = np.sort(names[long])
-        for y, c in near:
-            m = int(sizes[y])
-            if y == x or min(m, n) * 100 < percent * max(m, n) or links.root(x) == links.root(y):
+        for y, c in zip(near[fits].tolist(), shared[fits].tolist(), strict=True):
+            if links.root(x) == links.root(y):
                 continue
-            own = sets[y]
+            m, own = int(sizes[y]), sets[y]
             where = np.minimum(np.searchsorted(own, probes), m - 1)
             both = c + int((own[where] == probes).sum())
             if 100 * both >= percent * (n + m - both):
@@ -364,17 +370,23 @@ def agreement_keys(own: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def agreeing(crowded: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """crowded (pivot, doc_id, label, main) -> members (held, doc_id, label, query) that agree on a part, in bounded blocks."""
+def paired_blocks(crowded: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """crowded (pivot, doc_id, label, main) -> members (held, doc_id, label, query) of pairs of bounded blocks."""
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [agreement_keys(shingle_set(t, size), percent) for t in raw_texts(batch)]
         offsets = np.cumsum([0, *map(len, found)])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found)))], ["doc_id", "keys"])
 
-    who = crowded.select("doc_id").distinct()
-    keyed = checkpoint(map_arrow(docs.join(who.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), keys, "doc_id bigint, keys array<bigint>"))
-    rows = checkpoint(crowded.join(keyed, "doc_id").select("pivot", F.explode("keys").alias("key"), "doc_id", "label", (F.col("label") != F.col("main")).alias("query")).distinct())
+    crowded = crowded.select("pivot", "doc_id", "label", (F.col("label") != F.col("main")).alias("query"))
+    wide = checkpoint(crowded.groupBy("pivot").agg(F.count_if("query").alias("a")).where(F.col("a") > WIDE * BLOCK).select("pivot"))
+    rows = crowded.withColumn("key", F.lit(0).cast("bigint"))
+    if not wide.isEmpty():
+        divided = crowded.join(wide, "pivot", "left_semi")
+        who = divided.select("doc_id").distinct()
+        keyed = checkpoint(map_arrow(docs.join(who.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), keys, "doc_id bigint, keys array<bigint>"))
+        keyed = divided.join(keyed, "doc_id").withColumn("key", F.explode("keys")).drop("keys").distinct()
+        rows = checkpoint(rows.join(wide, "pivot", "left_anti").unionByName(keyed))
     groups = rows.groupBy("pivot", "key").agg(
         F.count_if("query").alias("a"), F.count_if(~F.col("query")).alias("t"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("same")
     ).where("a > 0 and lo <> hi")
@@ -410,7 +422,7 @@ def representative_links(docs: DataFrame, signed: DataFrame, classes: DataFrame,
     crowded = checkpoint(crowded.join(mixed, "pivot").join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")))
     if crowded.isEmpty():
         return links
-    again = agreeing(crowded, docs, size, percent)
+    again = paired_blocks(crowded, docs, size, percent)
     return links.unionByName(checkpoint(search_blocks(again, own, docs, size, percent)))
 
 

@@ -288,11 +288,12 @@ def near_copies(seed=3, count=220):
     return out | {count: "", count + 1: "  \n", count + 2: "one two", count + 3: "One  two", count + 4: "one two three"}
 
 
-@pytest.mark.parametrize("block,few", [(2048, 8), (16, 3), (4, 2)])
-def test_join_equals_brute_force(spark, monkeypatch, block, few):
+@pytest.mark.parametrize("block,few,wide", [(2048, 8, 64), (16, 3, 64), (4, 2, 64), (4, 3, 0)])
+def test_join_equals_brute_force(spark, monkeypatch, block, few, wide):
     """Small blocks and lists take every path: bands, several blocks, the second round."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
     rows = near_copies(seed=block)
     got = by_id(ngram_join.ngram_jaccard_join(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(5)))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows)
@@ -314,30 +315,33 @@ def test_similar_sets_agree_on_a_part():
     assert linked > 1000
 
 
-def test_crowded_groups_stay_bounded(spark, monkeypatch):
-    """Texts of 3 out of 20 paragraphs: common passages, no links. Rows of the second round grow with the texts."""
+@pytest.mark.parametrize("wide", [64, 1])
+def test_crowded_groups_stay_bounded(spark, monkeypatch, wide):
+    """Texts of 3 out of 20 paragraphs: common passages, no links. Groups stay small, and rows far below the pairs."""
     import itertools
 
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
     word = random.Random(8)
     paragraphs = [" ".join("".join(word.choice("abcdefghijkl") for _ in range(5)) for _ in range(40)) for _ in range(20)]
     texts = ["\n".join(paragraphs[k] for k in c) for c in itertools.combinations(range(20), 3)]
     seen = {}
-    whole = ngram_join.agreeing
+    whole = ngram_join.paired_blocks
 
     def watched(*a):
-        seen["rows"] = whole(*a)
-        return seen["rows"]
+        out = whole(*a)
+        seen["rows"], seen["most"] = out.count(), out.groupBy("held").count().agg({"count": "max"}).first()[0]
+        return out
 
-    monkeypatch.setattr(ngram_join, "agreeing", watched)
+    monkeypatch.setattr(ngram_join, "paired_blocks", watched)
     rows = {}
     for n in (300, 1140):
         table = spark.createDataFrame(list(enumerate(texts[::-1][:n])), "doc_id bigint, text string")
         got = by_id(ngram_join.ngram_jaccard_join(table))
         assert all(r.component_id == i for i, r in got.items())
-        rows[n] = seen["rows"].count()
-        assert seen["rows"].groupBy("held").count().agg({"count": "max"}).first()[0] <= 3 * ngram_join.BLOCK
-    assert rows[1140] < 8 * rows[300] + 20_000
+        rows[n] = seen["rows"]
+        assert seen["most"] <= 2 * ngram_join.BLOCK + 6 * (2 * ngram_join.BLOCK) ** 0.5  # blocks are dealt by a hash
+    assert rows[1140] < 1140 * 1140 / 2 / ngram_join.BLOCK * (1 if wide == 64 else 3)
 
 
 @pytest.mark.parametrize("rows", [3, 11, 1000])
