@@ -23,9 +23,16 @@ def prediction_key(user: Column, name: str) -> Column:
 
 
 def format_value(value: Column) -> Column:
-    """A number as text: at most four decimals, none when it is whole; null counts as 0."""
-    fixed = F.round(F.coalesce(value.cast("double"), F.lit(0.0)), 4).cast("decimal(38,4)").cast("string")
-    return F.regexp_replace(fixed, r"\.?0+$", "")
+    """A number as the shortest text that reads back as it, without a point when it is whole; null counts as 0.
+
+    Exponents are written out as far as 38 digits hold them.
+    """
+
+    def plain(text: Column) -> Column:
+        return F.when(~text.contains("E"), text).otherwise(F.coalesce(text.try_cast("decimal(38,18)").cast("string"), text))
+
+    shown = plain(F.coalesce(value.cast("double"), F.lit(0.0)).cast("string"))
+    return F.when(shown.contains(".") & ~shown.contains("E"), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
 
 
 def parse_value(text: Column) -> Column:
@@ -33,8 +40,19 @@ def parse_value(text: Column) -> Column:
     return text.cast("double")
 
 
+_DIGITS = "[0-9](?:_?[0-9])*"
+#: Decimal numerals with an optional exponent, digits grouped by single underscores, and the names of the other values.
+NUMERAL = rf"^\s*[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf(?:inity)?|nan))\s*$"
+
+
 def is_number(text: Column) -> Column:
-    return text.try_cast("double").isNotNull()
+    """Is it a numeral? Suffixes (1d, 1f) and hexadecimal ones aren't."""
+    return F.coalesce(text.rlike(NUMERAL), F.lit(False))
+
+
+def number(text: Column) -> Column:
+    """The value of a numeral; null for anything else."""
+    return F.when(is_number(text), F.regexp_replace(F.trim(text), "_", "").try_cast("double"))
 
 
 def trimmed(text: Column) -> Column:

@@ -32,7 +32,7 @@ def aggregates() -> list[Column]:
     """The four features as one pass of conditional aggregates; a feature to which no event adds is null."""
     kind, some = F.col("event_type"), lambda c: F.when(F.count_if(c) > 0, F.count_if(c))
     amount = F.when(kind == "purchase", F.coalesce("amount", F.lit(0.0)))
-    return [F.count("*").alias("event_count"), some(kind == "click").alias("click_count"), some(kind == "purchase").alias("purchase_count"), F.round(F.sum(amount), 4).alias("total_purchase_amount")]
+    return [F.count("*").alias("event_count"), some(kind == "click").alias("click_count"), some(kind == "purchase").alias("purchase_count"), F.sum(amount).alias("total_purchase_amount")]
 
 
 def user_features(events: DataFrame) -> DataFrame:
@@ -46,6 +46,11 @@ def window_features(events: DataFrame, size: int = 60) -> DataFrame:
     return events.groupBy("user_id", "window_start").agg(*aggregates())
 
 
+def rounded(features: DataFrame, digits: int = 4) -> DataFrame:
+    """The features with sums rounded, as for reports: the last digits of a sum depend on the order of its parts."""
+    return features.withColumn(BATCH_FEATURES[3], F.round(BATCH_FEATURES[3], digits))
+
+
 def as_cells(features: DataFrame) -> DataFrame:
     """A wide table as (key, value) text cells; features without a value have no cell."""
     windowed = "window_start" in features.columns
@@ -65,7 +70,7 @@ def merged_windows(state: DataFrame, deltas: DataFrame) -> DataFrame:
     """Stored window features plus those of a new batch; what neither has stays without a value."""
     keys = ["user_id", "window_start"]
     both = state.select(*keys, *BATCH_FEATURES).unionByName(deltas.select(*keys, *BATCH_FEATURES))
-    return both.groupBy(*keys).agg(*[F.sum(f).alias(f) for f in BATCH_FEATURES[:3]], F.round(F.sum(BATCH_FEATURES[3]), 4).alias(BATCH_FEATURES[3]))
+    return both.groupBy(*keys).agg(*[F.sum(f).alias(f) for f in BATCH_FEATURES[:3]], F.sum(BATCH_FEATURES[3]).alias(BATCH_FEATURES[3]))
 
 
 def served_features(users: DataFrame, batch: DataFrame, windows: DataFrame, starts: list[int]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_number, trimmed
+from ..functions.scalar import is_number, number, trimmed
 
 ALLOWED = ("add_to_cart", "click", "purchase", "view")
 
@@ -29,7 +29,7 @@ def issues(require_timestamp: bool = False, allowed: tuple[str, ...] = ALLOWED,
         found += [issue("timestamp", "timestamp is required", time.isNull()), issue("timestamp", "timestamp must be numeric", time.isNotNull() & ~is_number(time))]
     if has_amount:
         amount = F.col("amount").cast("string")
-        found += [issue("amount", "amount must be numeric", amount.isNotNull() & ~is_number(amount)), issue("amount", "amount must be non-negative", F.coalesce(amount.try_cast("double") < 0, F.lit(False)))]
+        found += [issue("amount", "amount must be numeric", amount.isNotNull() & ~is_number(amount)), issue("amount", "amount must be non-negative", F.coalesce(number(amount) < 0, F.lit(False)))]
     return F.array_compact(F.array(*found))
 
 

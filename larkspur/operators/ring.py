@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ring_token
+from ..functions.scalar import let, ring_token
 
 
 class Ring:
@@ -38,8 +38,8 @@ class Ring:
         if not self.places:
             raise ValueError("the ring has no shards")
         tokens, names = (F.array(*[F.lit(p[k]) for p in self.places]) for k in (0, 1))
-        before = F.aggregate(tokens, F.lit(0), lambda n, t: n + F.when(t < ring_token(key), 1).otherwise(0))
-        return F.get(names, before % len(self.places))
+        # the token is computed once, not for each place of the ring
+        return let(ring_token(key), lambda token: F.get(names, F.size(F.filter(tokens, lambda t: t < token)) % len(self.places)))
 
 
 def routed(keys: DataFrame, ring: Ring, key: str = "key") -> DataFrame:

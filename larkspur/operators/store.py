@@ -95,19 +95,31 @@ class Table:
         found = self.generations()
         if not found:
             return self.spark.createDataFrame([], CHANGE)
-        return self.spark.read.schema(CHANGE).parquet(*[f"{self.path}/gen={g}" for g in found])
+        done = self.compacted_at()  # what it replaces needn't be read
+        return self.spark.read.schema(CHANGE).parquet(*[f"{self.path}/gen={g}" for g in found if g >= done])
 
     def next_seq(self) -> int:
         return int(next_number(self.changes(), "seq", 1).first().next)
 
-    def write(self, cells: DataFrame) -> None:
-        """Put (key, value) cells over what is there; a null value deletes its key. Of repeated keys the largest value wins."""
+    def write(self, cells: DataFrame, order: str | None = None) -> None:
+        """Put (key, value) cells over what is there; a null value deletes its key.
+
+        Of repeated keys the one with the largest value of the column `order` wins; without that column the largest value.
+        """
         seq = self.next_seq()
         op = F.when(F.col("value").isNull(), "del").otherwise("put")
+        if order is not None:
+            newest = cells.groupBy("key").agg(F.max(F.struct(F.col(order).alias("o"), "value")).alias("v"))
+            cells = newest.select("key", "v.value")
         self._save(cells.select(F.lit(seq).cast("bigint").alias("seq"), op.alias("op"), "key", "value"))
-        if len(self.generations()) >= self.compact_after:
+        if sum(g >= self.compacted_at() for g in self.generations()) >= self.compact_after:
             self.compact()
 
+    def restore(self, changes: DataFrame) -> None:
+        """Take over changes that carry their own sequence numbers, as from a log that is replayed. Taking one twice changes
+        nothing, since the newest version of a key is the same."""
+        self._save(checked_ops(changes).select("seq", "op", "key", "value"))
+
     def _save(self, changes: DataFrame) -> None:
         new = f"{self.path}/_new-{uuid.uuid4().hex}"
         changes.sortWithinPartitions("key").write.parquet(new)
@@ -116,10 +128,21 @@ class Table:
             raise OSError(f"generation {number} exists already")
 
     def compact(self) -> None:
+        """One generation of the newest versions. Those that it replaces stay until the next compaction, for plans that
+        still read them."""
         old = self.generations()
+        done = self.compacted_at()
         self._save(latest(self.changes()))
+        self.files.mkdirs(self._place(f"{self.path}/_compacted-{self.generations()[0]}"))
         for g in old:
-            self.files.delete(self._place(f"{self.path}/gen={g}"), True)
+            if g < done:
+                self.files.delete(self._place(f"{self.path}/gen={g}"), True)
+
+    def compacted_at(self) -> int:
+        """The number of the newest compacted generation, 0 without one."""
+        root = self._place(self.path)
+        names = [str(s.getPath().getName()) for s in self.files.listStatus(root)] if self.files.exists(root) else []
+        return max((int(n[11:]) for n in names if n.startswith("_compacted-")), default=0)
 
     def snapshot(self) -> DataFrame:
         return snapshot(self.changes())

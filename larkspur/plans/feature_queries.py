@@ -13,6 +13,7 @@ from ..operators.catalog import DEFAULTS, Registry
 from ..operators.mapreduce import map_reduce
 from ..sources.events import table_events
 from ..sources.records import unpivoted
+from . import rounded as rd
 from . import sql
 from .registry import query
 
@@ -21,12 +22,12 @@ DAY = 86_400
 
 @query(f"WITH {sql.WIDE} SELECT * FROM wide")
 def batch_user_features(spark: SparkSession, d: str) -> DataFrame:
-    return ft.user_features(table_events(spark, d))
+    return rd.user_features(table_events(spark, d))
 
 
 @query(f"WITH {sql.WIDE} {sql.BATCH_CELLS}")
 def batch_features_kv(spark: SparkSession, d: str) -> DataFrame:
-    return ft.as_cells(ft.user_features(table_events(spark, d)))
+    return ft.as_cells(rd.user_features(table_events(spark, d)))
 
 
 _PAIRS = """pairs AS (SELECT pos, user_id, 'event_count' AS feature, 1::DOUBLE AS amount FROM ev UNION ALL SELECT pos, user_id, 'click_count', 1 FROM ev WHERE event_type = 'click'
@@ -96,21 +97,22 @@ def valid_events(spark: SparkSession, d: str) -> DataFrame:
     return ql.valid_events(ql.validated(table_events(spark, d), require_timestamp=True)).select("pos", "user_id", "event_type")
 
 
-@query("SELECT text, TRY_CAST(text AS DOUBLE) IS NOT NULL AS is_number FROM (SELECT substr(o_orderpriority, 1, 1) AS text FROM orders UNION SELECT o_orderpriority FROM orders UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders UNION SELECT '1e3')")
+@query("SELECT text, TRY_CAST(text AS DOUBLE) IS NOT NULL AS is_number FROM (SELECT substr(o_orderpriority, 1, 1) AS text FROM orders UNION SELECT o_orderpriority FROM orders UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders UNION SELECT '1e3') UNION ALL SELECT * FROM (VALUES ('1d', false), ('1f', false), ('0x1p3', false), ('1_000', true), ('1__0', false), ('_1', false), (' 12.5 ', true), ('.5', true), ('5.', true), ('.', false), ('1e', false), ('-2E-3', true), ('NaN', true), ('-inf', true), ('', false), ('0.12345678901', true)) v(text, is_number)")
 def numeric_predicate(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     texts = o.select(F.substring("o_orderpriority", 1, 1).alias("text")).union(o.select("o_orderpriority")).union(o.select(F.col("o_custkey").cast("string"))).union(spark.sql("select '1e3'"))
-    return texts.distinct().select("text", fn.is_number(F.col("text")).alias("is_number"))
+    odd = spark.createDataFrame([(t,) for t in ("1d", "1f", "0x1p3", "1_000", "1__0", "_1", " 12.5 ", ".5", "5.", ".", "1e", "-2E-3", "NaN", "-inf", "", "0.12345678901")], "text string")
+    return texts.union(odd).distinct().select("text", fn.is_number(F.col("text")).alias("is_number"))
 
 
 @query(f"WITH {sql.EV}, {sql.windows(60)} SELECT * FROM win")
 def window_features(spark: SparkSession, d: str) -> DataFrame:
-    return ft.window_features(table_events(spark, d))
+    return rd.window_features(table_events(spark, d))
 
 
 @query(f"WITH {sql.EV}, {sql.windows(60)} {sql.WINDOW_CELLS}")
 def window_features_kv(spark: SparkSession, d: str) -> DataFrame:
-    return ft.as_cells(ft.window_features(table_events(spark, d)))
+    return ft.as_cells(rd.window_features(table_events(spark, d)))
 
 
 @query(f"WITH {sql.EV} SELECT pos, t - t % 60 AS window_start, t - t % 60 + 60 AS window_end FROM ev")
@@ -123,7 +125,7 @@ def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
 def window_feature_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Two batches of events, the second added to what the first stored: the same as all at once."""
     events = table_events(spark, d)
-    return ft.merged_windows(ft.window_features(events.where("pos % 2 = 0"), DAY), ft.window_features(events.where("pos % 2 = 1"), DAY))
+    return ft.merged_windows(rd.window_features(events.where("pos % 2 = 0"), DAY), rd.window_features(events.where("pos % 2 = 1"), DAY))
 
 
 def _recent(events: DataFrame) -> list[int]:
@@ -147,7 +149,7 @@ def _asked(events: DataFrame) -> DataFrame:
 
 def _served(spark: SparkSession, d: str) -> DataFrame:
     events = table_events(spark, d)
-    return ft.served_features(_asked(events), ft.user_features(events), ft.window_features(events, DAY), _recent(events))
+    return ft.served_features(_asked(events), rd.user_features(events), rd.window_features(events, DAY), _recent(events))
 
 
 @query(f"""WITH {_SERVED} SELECT user_id, event_count, click_count, purchase_count, total_purchase_amount, recent_event_count, recent_click_count, recent_purchase_count, recent_total_purchase_amount,
@@ -207,7 +209,7 @@ _FOUR = " || ',' || ".join(f"'feature:user:' || user_id || ':{f}'" for f in sql.
   'prediction:user:' || user_id || ':purchase_probability,prediction:user:' || user_id || ':label' AS output_keys, missing AS missing_features, label FROM scored LEFT JOIN rk USING (user_id)""")
 def prediction_lineage(spark: SparkSession, d: str) -> DataFrame:
     events = table_events(spark, d)
-    cells = ft.as_cells(ft.window_features(events, DAY))
+    cells = ft.as_cells(rd.window_features(events, DAY))
     rows = intent.prediction_lineage(_scored(spark, d), ft.served_keys(_asked(events), cells, _recent(events)))
     lists = [F.array_join(c, ",").alias(c) for c in ("input_feature_keys", "output_keys", "missing_features")]
     return rows.select("record_type", "user_id", "model_version", *lists, F.col("extra")["label"].alias("label"))
@@ -215,7 +217,7 @@ def prediction_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {sql.WIDE} SELECT 'total' AS scope, metric, value FROM (SELECT count(*)::DOUBLE AS users, sum(event_count)::DOUBLE AS events, round(sum(total_purchase_amount), 2) AS amount FROM wide) UNPIVOT (value FOR metric IN (users, events, amount))")
 def experiment_metrics(spark: SparkSession, d: str) -> DataFrame:
-    wide = ft.user_features(table_events(spark, d)).agg(F.count("*").alias("users"), F.sum("event_count").alias("events"), F.round(F.sum("total_purchase_amount"), 2).alias("amount"))
+    wide = rd.user_features(table_events(spark, d)).agg(F.count("*").alias("users"), F.sum("event_count").alias("events"), F.round(F.sum("total_purchase_amount"), 2).alias("amount"))
     return unpivoted(wide.withColumn("scope", F.lit("total")), ["scope"], ["users", "events", "amount"])
 
 

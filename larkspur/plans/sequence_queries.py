@@ -61,10 +61,11 @@ def encoded_sequences(spark: SparkSession, d: str) -> DataFrame:
     return sq.encoded(found, sq.vocabulary(found)).select("pos", F.array_join("ids", ",").alias("ids"))
 
 
-@query(f"WITH {_VOCAB} SELECT v.id, coalesce(token, '<UNK>') AS token FROM (SELECT CAST(i AS INTEGER) AS id FROM range(2, 40) r(i)) v LEFT JOIN voc USING (id)")
+@query(f"WITH {_VOCAB} SELECT v.id, coalesce(token, '<UNK>') AS token FROM (SELECT CAST(i AS INTEGER) AS id FROM range(2, (SELECT max(id) + 4 FROM voc)) r(i)) v LEFT JOIN voc USING (id)")
 def decoded_tokens(spark: SparkSession, d: str) -> DataFrame:
     vocab = sq.vocabulary(sq.examples(table_events(spark, d)))
-    return sq.decoded(spark.range(2, 40).select(F.col("id").cast("int").alias("id")), vocab).select("id", "token")
+    beyond = vocab.agg(F.max("id").alias("m")).select(F.explode(F.sequence(F.col("m") + 1, F.col("m") + 3)).alias("id"))  # ids that are no token's
+    return sq.decoded(vocab.where("id > 1").select("id").union(beyond), vocab).select("id", "token")
 
 
 @query(f"WITH {_SEQ}, {_SPLIT} SELECT pos, label, is_test FROM spl")
@@ -94,10 +95,11 @@ def positive_rate(spark: SparkSession, d: str) -> DataFrame:
     return sq.examples(table_events(spark, d)).agg(F.round(F.avg("label"), 4).alias("positive_rate"), F.count("*").alias("examples"))
 
 
-@query("""SELECT CAST(i AS INTEGER) AS id, CAST(p AS INTEGER) AS position, CAST(d AS INTEGER) AS dim, round(0.85::DOUBLE * (('0x' || substr(sha256(i || ':' || d), 1, 8))::BIGINT / 4294967295::DOUBLE * 2 - 1) + 0.15::DOUBLE * sin((p + 1) / pow(10000::DOUBLE, d / 16::DOUBLE)), 6) AS value
-  FROM range(1, 30) a(i), range(20) b(p), range(16) c(d)""")
+@query(f"""WITH {_VOCAB} SELECT i AS id, CAST(p AS INTEGER) AS position, CAST(d AS INTEGER) AS dim, round(0.85::DOUBLE * (('0x' || substr(sha256(i || ':' || d), 1, 8))::BIGINT / 4294967295::DOUBLE * 2 - 1) + 0.15::DOUBLE * sin((p + 1) / pow(10000::DOUBLE, d / 16::DOUBLE)), 6) AS value
+  FROM (SELECT id AS i FROM voc UNION ALL SELECT 1) a, range(20) b(p), range(16) c(d)""")
 def token_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.range(1, 30).select(F.col("id").cast("int").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("position"))
+    vocab = sq.vocabulary(sq.examples(table_events(spark, d)))
+    grid = vocab.where("id > 0").select("id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("position"))
     vector = at.embedding(at.base_vector(F.col("id"), 16), F.col("position"), 16)
     return grid.select("id", "position", F.posexplode(vector).alias("dim", "v")).select("id", "position", "dim", F.round("v", 6).alias("value"))
 

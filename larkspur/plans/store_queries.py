@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
+from ..operators import replication as rp
 from ..operators import ring as rg
+from ..operators import sharded as sh
 from ..operators import store as st
 from ..sources import events as src
+from . import rounded as rd
 from . import sql
 from .registry import query
+from .stream_queries import _folder as shared_folder
 
 TWO, THREE = ("shard-a", "shard-b"), ("shard-a", "shard-b", "shard-c")
 OLD, NEW = rg.Ring(TWO, 8), rg.Ring(THREE, 8)
@@ -19,7 +23,7 @@ _KEYS = f"{sql.WIDE}, {_RING}, keys AS ({sql.BATCH_CELLS})"
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return ft.as_cells(ft.user_features(src.table_events(spark, d)))
+    return ft.as_cells(rd.user_features(src.table_events(spark, d)))
 
 
 @query(f"WITH {_RING} SELECT * FROM ring")
@@ -59,7 +63,7 @@ _REQUESTS = f"{sql.EV}, {sql.windows(60)}, {_RING}, cells AS ({sql.WINDOW_CELLS}
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     """An update of a window cell reads it and writes it."""
-    cells = ft.as_cells(ft.window_features(src.table_events(spark, d)))
+    cells = ft.as_cells(rd.window_features(src.table_events(spark, d)))
     return cells.select("key", F.explode(F.array(F.lit("get"), F.lit("put"))).alias("op"))
 
 
@@ -119,13 +123,15 @@ def replication_log(spark: SparkSession, d: str) -> DataFrame:
     return _writes(spark, d)
 
 
-_APPLIED = f"{_WRITES}, app AS (SELECT shard_id, shard_id || '-' || n AS node_id, idx FROM wr, (VALUES ('follower1', 97), ('follower2', 89)) v(n, m) WHERE idx % m <> 0 AND idx < 40 * m)"
+_APPLIED = f"{_WRITES}, app AS (SELECT shard_id, shard_id || '-' || n AS node_id, idx FROM (SELECT *, max(idx) OVER (PARTITION BY shard_id) AS mx FROM wr), (VALUES ('follower1', 97, 90), ('follower2', 89, 95)) v(n, m, pct) WHERE idx % m <> 0 AND 100 * idx <= pct * mx)"
 
 
 def _applied(spark: SparkSession, d: str) -> DataFrame:
-    """What two followers of each shard have got: each has missed some writes and stopped somewhere."""
-    followers = spark.createDataFrame([("follower1", 97), ("follower2", 89)], "n string, m int")
-    rows = _writes(spark, d).crossJoin(F.broadcast(followers)).where("idx % m <> 0 and idx < 40 * m")  # two rows
+    """What two followers of each shard have got: each has missed some writes all along, and is behind by a share of them."""
+    followers = spark.createDataFrame([("follower1", 97, 90), ("follower2", 89, 95)], "n string, m int, pct int")
+    writes = _writes(spark, d)
+    last = writes.groupBy("shard_id").agg(F.max("idx").alias("mx"))  # one row for each shard
+    rows = writes.join(F.broadcast(last), "shard_id").crossJoin(F.broadcast(followers)).where("idx % m <> 0 and 100 * idx <= pct * mx")  # two rows
     return rows.select("shard_id", F.concat_ws("-", "shard_id", "n").alias("node_id"), "idx")
 
 
@@ -154,6 +160,83 @@ def replication_applied(spark: SparkSession, d: str) -> DataFrame:
     return st.applicable(both).groupBy("node_id").agg(F.count("*").alias("taken"))
 
 
+_NODES = [(s, f"{s}-{n}", role, behind) for s in TWO for n, role, behind in (("leader", "leader", 0), ("follower1", "follower", 25), ("follower2", "follower", 10))]
+_SHIP = f"""{_CHANGES}, {_RING}, wr AS (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY seq) AS idx FROM {sql.routed('ch')}), nd AS (SELECT * FROM (VALUES {', '.join(map(str, _NODES))}) v(shard_id, node_id, role, behind)),
+  sync AS (SELECT shard_id, node_id, idx, seq, op, key, value FROM wr JOIN nd USING (shard_id)),
+  late AS (SELECT shard_id, node_id, idx, seq, op, key, value FROM (SELECT *, max(idx) OVER (PARTITION BY shard_id) AS mx FROM wr) JOIN nd USING (shard_id) WHERE idx <= mx - behind)"""
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_NODES, "shard_id string, node_id string, role string, behind int")
+
+
+def _shipped(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    return rp.shipped(st.write_indexes(rg.routed(_changes(spark, d), OLD)), _nodes(spark), mode)
+
+
+@query(f"WITH {_SHIP} SELECT node_id, key, value FROM (SELECT * FROM sync QUALIFY row_number() OVER (PARTITION BY node_id, key ORDER BY idx DESC) = 1) WHERE op = 'put'")
+def replicate_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Every node's live keys when all writes have been shipped: the same on all nodes of a shard."""
+    log = rp.gapless(_shipped(spark, d, "sync"))
+    newest = log.groupBy("node_id", "key").agg(F.max(F.struct("idx", "op", "value")).alias("v"))
+    return newest.where("v.op = 'put'").select("node_id", "key", "v.value")
+
+
+_STATUS = """SELECT shard_id, node_id, role, last_index, max(last_index) FILTER (role = 'leader') OVER (PARTITION BY shard_id) - last_index AS lag, live_keys
+  FROM nd JOIN (SELECT node_id, max(idx) AS last_index FROM late GROUP BY node_id) USING (node_id)
+  JOIN (SELECT node_id, count(*) FILTER (op = 'put') AS live_keys FROM (SELECT * FROM late QUALIFY row_number() OVER (PARTITION BY node_id, key ORDER BY idx DESC) = 1) GROUP BY node_id) USING (node_id)"""
+
+
+@query(f"WITH {_SHIP} {_STATUS}")
+def replicate_async_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Status of every node while followers lag."""
+    return rp.status(_shipped(spark, d, "async"), _nodes(spark))
+
+
+@query(f"WITH {_SHIP}, ap AS (SELECT shard_id, node_id, max(idx) AS last FROM late GROUP BY ALL) SELECT shard_id, count(*) FILTER (last >= 600) AS reached, count(*) FILTER (last < 600) AS waiting FROM ap GROUP BY shard_id")
+def replication_barrier(spark: SparkSession, d: str) -> DataFrame:
+    """The feature is a barrier at one index: which nodes have reached write 600."""
+    return rp.barrier(_shipped(spark, d, "async"), _nodes(spark), 600)
+
+
+@query(f"""WITH {_SHIP}, ap AS (SELECT shard_id, node_id, max(idx) AS last FROM late GROUP BY ALL), up AS (SELECT shard_id, node_id AS lead, last FROM ap JOIN nd USING (shard_id, node_id) WHERE role = 'follower' QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY last DESC, node_id) = 1)
+  SELECT shard_id, node_id, CASE WHEN node_id = lead THEN 'leader' ELSE 'follower' END AS role, last + 1 AS next_index FROM nd JOIN up USING (shard_id)""")
+def failover(spark: SparkSession, d: str) -> DataFrame:
+    """Roles and the next index after every leader is lost while followers lag."""
+    return rp.failover(_nodes(spark), _shipped(spark, d, "async"))
+
+
+@query(f"WITH {_SHIP} SELECT key, value FROM (SELECT * FROM late WHERE node_id = 'shard-a-follower1' QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1) WHERE op = 'put'")
+def follower_reads(spark: SparkSession, d: str) -> DataFrame:
+    return rp.read_from(_shipped(spark, d, "async"), "shard-a-follower1")
+
+
+@query(f"WITH {_LATEST} SELECT key, value FROM latest WHERE op = 'put'")
+def wal_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The changes appended to a log in two parts, the later one first, replayed, and written as a table that is reopened."""
+    folder = shared_folder(spark)
+    wal = sh.Wal(spark, f"{folder}/wal")
+    changes = _changes(spark, d)
+    for late in (True, False):
+        wal.append(changes.where((F.col("seq") % 2 == 0) == F.lit(late)))
+    st.Table(spark, f"{folder}/table").restore(wal.replay())
+    return st.Table(spark, f"{folder}/table").snapshot()
+
+
+_MOVED = f"{_KEYS}, {sql.ring(THREE, 8, 'ring3')}"
+
+
+@query(f"WITH {_MOVED} SELECT r.shard_id, r.key, r.value FROM {sql.routed('keys', 'ring3')} r WHERE r.key NOT LIKE '%:click_count'")
+def routed_store(spark: SparkSession, d: str) -> DataFrame:
+    """Cells written to two shards, some deleted, then a third shard added: what each shard holds."""
+    store = sh.ShardedStore(spark, f"{shared_folder(spark)}/store", OLD)
+    cells = _cells(spark, d)
+    store.write(cells)
+    store.write(cells.where("key like '%:click_count'").select("key", F.lit(None).cast("string").alias("value")))
+    store.add_shard("shard-c")
+    return store.snapshot()
+
+
 @query(f"WITH {sql.EV} SELECT pos AS \"offset\", user_id, event_type FROM ev WHERE pos >= 500 ORDER BY pos LIMIT 100")
 def log_range_scan(spark: SparkSession, d: str) -> DataFrame:
     """The feature is a bounded poll: 100 records from offset 500."""
@@ -184,7 +267,7 @@ def scaling_workload(spark: SparkSession, d: str) -> DataFrame:
     """Keys by shard after a batch and a stream run over made events of three sizes."""
     out = None
     for n in (250, 1000, 2500):
-        cells = ft.as_cells(ft.user_features(src.made_batch_events(spark, n))).union(ft.as_cells(ft.window_features(src.made_stream_events(spark, n))))
+        cells = ft.as_cells(rd.user_features(src.made_batch_events(spark, n))).union(ft.as_cells(rd.window_features(src.made_stream_events(spark, n))))
         part = rg.per_shard(rg.routed(cells, OLD), OLD, "keys").select(F.lit(n).alias("events"), "shard_id", "keys")
         out = part if out is None else out.union(part)
     return out
@@ -205,7 +288,7 @@ def hotspot_workload(spark: SparkSession, d: str) -> DataFrame:
     for name, hot in (("balanced", False), ("skewed", True)):
         made = src.made_clicks(spark, 1000, hot)
         raw = made.select(window_key(F.col("user_id"), window_start(F.col("timestamp")), F.lit("event_count")).alias("key"))
-        cells = ft.as_cells(ft.window_features(made))
+        cells = ft.as_cells(rd.window_features(made))
         both = rg.per_shard(rg.routed(raw, OLD), OLD, "events").join(rg.per_shard(rg.routed(cells, OLD), OLD, "keys"), "shard_id")
         part = both.select(F.lit(name).alias("workload"), "shard_id", "events", "keys", (F.col("keys") * 2).alias("requests"))
         out = part if out is None else out.union(part)

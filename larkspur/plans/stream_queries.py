@@ -11,17 +11,26 @@ from pyspark.sql import functions as F
 from ..operators.store import Table
 from ..sources.events import EventLog, table_events
 from ..streaming.processor import process_available, stream_features
+from ..operators.features import rounded
 from . import sql
 from .registry import query
+from .rounded import value_text
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or _own_folder(sc.master)
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
+def _own_folder(master: str) -> str:
+    """Only a local session may do without a shared folder."""
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="larkspur-")
+
+
 def _logged(spark: SparkSession, d: str, parts: int = 3) -> tuple[EventLog, str]:
     """The events as a log of several appends."""
     folder = _folder(spark)
@@ -46,7 +55,7 @@ def stream_window_features(spark: SparkSession, d: str) -> DataFrame:
     updates = spark.read.parquet(out)
     columns = [c for c in updates.columns if c not in ("user_id", "window_start", "batch")]
     last = updates.groupBy("user_id", "window_start").agg(F.max_by(F.struct(*columns), "batch").alias("f"))
-    return last.select("user_id", "window_start", *[F.col(f"f.{c}").alias(c) for c in columns])
+    return rounded(last.select("user_id", "window_start", *[F.col(f"f.{c}").alias(c) for c in columns]))
 
 
 @query(f"WITH {sql.EV}, {sql.windows(60)} {sql.WINDOW_CELLS}")
@@ -55,4 +64,4 @@ def stream_store_features(spark: SparkSession, d: str) -> DataFrame:
     log, folder = _logged(spark, d)
     store = Table(spark, f"{folder}/store")
     process_available(log, store, f"{folder}/checkpoint", max_files=4)
-    return store.snapshot().where(~F.col("key").startswith("stream:"))
+    return store.snapshot().where(~F.col("key").startswith("stream:")).select("key", value_text(F.col("value")).alias("value"))

@@ -48,12 +48,15 @@ def process_available(log: EventLog, store: Table, checkpoint: str, size: int =
         events = flat(batch)
         if quarantine is not None:
             checked = events.withColumn("issues", issues(require_timestamp=True)).persist()
-            checked.where(F.size("issues") > 0).write.mode("append").json(quarantine)
+            bad = checked.where(F.size("issues") > 0)  # a replayed batch writes its own folder over
+            bad.write.mode("overwrite").json(f"{quarantine}/batch={number}")
             events = valid_events(checked)
         deltas = as_cells(window_features(events, size)).withColumnRenamed("value", "delta")
         new = deltas.join(store.snapshot(), "key", "left").select("key", added(F.col("value"), F.col("delta")).alias("value"))
         note = batch.sparkSession.createDataFrame([(marker, str(number))], "key string, value string")
         store.write(new.unionByName(note))
+        if quarantine is not None:
+            checked.unpersist()
 
     writer = log.stream(**options).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.start()

@@ -96,6 +96,8 @@ class FeatureSystem:
 
 
 def promoted(topology: DataFrame, shard_id: str, node_id: str) -> DataFrame:
-    """The topology after a failover: node_id leads its shard, the old leader follows."""
+    """The topology after a failover: node_id leads its shard, the old leader follows. An unknown node is an error."""
+    if topology.where((F.col("shard_id") == shard_id) & (F.col("node_id") == node_id)).isEmpty():
+        raise ValueError(f"{shard_id} has no node {node_id}")
     mine = F.col("shard_id") == shard_id
     return topology.withColumn("role", F.when(~mine, F.col("role")).when(F.col("node_id") == node_id, "leader").otherwise("follower"))
