@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 PAD, UNKNOWN = 0, 1
 PAD_TOKEN, UNKNOWN_TOKEN = "<PAD>", "<UNK>"
 
@@ -37,7 +39,7 @@ def vocabulary(found: DataFrame) -> DataFrame:
     """token, id of all tokens of examples in the order in which they first stand there, from 2; with PAD and UNKNOWN."""
     spread = found.select("user_first", "timestamp", "pos", F.posexplode("tokens").alias("at", "token"))
     first = spread.groupBy("token").agg(F.min(F.struct("user_first", "timestamp", "pos", "at")).alias("first"))
-    ids = first.select("token", (F.row_number().over(Window.orderBy("first")) + 1).alias("id"))  # distinct tokens only
+    ids = numbered(first.select("token", "first.*"), ["user_first", "timestamp", "pos", "at"], "n").select("token", (F.col("n") + 1).cast("int").alias("id"))
     special = found.sparkSession.createDataFrame([(PAD_TOKEN, PAD), (UNKNOWN_TOKEN, UNKNOWN)], "token string, id int")
     return special.unionByName(ids)
 
@@ -60,11 +62,10 @@ def decoded(ids: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def stratified_split(found: DataFrame, ratio: float = 0.3) -> DataFrame:
     """Examples with is_test: of each label the first share by user (as text) and time, at least one of several."""
-    by = Window.partitionBy("label")
-    n = F.count("*").over(by)
-    at = F.row_number().over(by.orderBy("user_id", "timestamp", "pos"))
+    n = F.col("_of")
     tests = F.when(n > 1, F.greatest(F.lit(1), F.floor(n * F.lit(ratio)))).otherwise(0)
-    return found.withColumn("is_test", at <= tests)
+    rows = numbered(found, ["user_id", "timestamp", "pos"], "_at", by=["label"], total="_of")
+    return rows.withColumn("is_test", F.col("_at") <= tests).drop("_at", "_of")
 
 
 def prefix_split(found: DataFrame, ratio: float = 0.3) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +74,7 @@ def prefix_split(found: DataFrame, ratio: float = 0.3) -> tuple[DataFrame, DataF
     if n < 3:
         return found, found
     cut = max(1, int(n * (1 - ratio)))
-    at = found.withColumn("_at", F.row_number().over(Window.orderBy("user_first", "timestamp", "pos")))
+    at = numbered(found, ["user_first", "timestamp", "pos"], "_at")
     return at.where(F.col("_at") <= cut).drop("_at"), at.where(F.col("_at") > cut).drop("_at")
 
 

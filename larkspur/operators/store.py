@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 CHANGE = "seq bigint, op string, key string, value string"
 
 
@@ -34,7 +36,7 @@ def lookup(changes: DataFrame, key: str) -> DataFrame:
 
 def write_indexes(writes: DataFrame, by: str = "shard_id", order: str = "seq") -> DataFrame:
     """Writes numbered from 1 on each shard."""
-    return writes.withColumn("idx", F.row_number().over(Window.partitionBy(by).orderBy(order)).cast("bigint"))
+    return numbered(writes, [order], "idx", by=[by])
 
 
 def replication_gaps(applied: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_event_type
+from ..operators.numbering import numbered
 
 EVENT = "user_id string, event_type string, amount double, timestamp bigint, item_id string, pos bigint"
 LOG = "offset bigint, event struct<user_id: string, event_type: string, amount: double, timestamp: bigint>"
@@ -100,8 +101,8 @@ class EventLog:
         """Append events in the order of pos; the first offset that they got. One writer at a time."""
         first = self.next_offset()
         own = F.struct(*[F.col(c) for c in ("user_id", "event_type", "amount", "timestamp")]).alias("event")
-        at = (F.row_number().over(Window.orderBy("pos")) - 1 + first).cast("bigint").alias("offset")  # offsets are one sequence
-        events.select(at, own).write.mode("append").json(self.path)
+        at = (F.col("_n") - 1 + first).alias("offset")
+        numbered(events, ["pos"], "_n").select(at, own).write.mode("append").json(self.path)
         return first
 
     def read(self) -> DataFrame:
