@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import attention as at
 from ..operators import sequences as sq
 from ..sources.events import sample_events, table_events
+from ..sources.shared import written
 from . import sql
 from .registry import query
 
@@ -80,8 +81,9 @@ def prefix_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = sq.stratified_split(sq.examples(table_events(spark, d)))
-    return found.where("not is_test"), found.where("is_test"), sq.vocabulary(found)
+    found = written(sq.examples(table_events(spark, d)))
+    split = written(sq.stratified_split(found))
+    return split.where("not is_test"), split.where("is_test"), written(sq.vocabulary(found))
 
 
 @query(f"WITH {_SEQ} SELECT token, round(avg(label), 4) AS score FROM (SELECT DISTINCT pos, token, label FROM tok) GROUP BY token")
@@ -105,8 +107,8 @@ def token_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _attended(spark: SparkSession, d: str) -> DataFrame:
-    found = sq.examples(table_events(spark, d))
-    return MODEL.attended(found, sq.vocabulary(found))
+    found = written(sq.examples(table_events(spark, d)))
+    return MODEL.attended(found, written(sq.vocabulary(found)))
 
 
 @query(f"WITH {_ATT} SELECT pos, plc AS position, id, token, round(w, 4) AS attention FROM att")

@@ -14,7 +14,7 @@ from ..sources import events as src
 from . import rounded as rd
 from . import sql
 from .registry import query
-from .stream_queries import _folder as shared_folder
+from ..sources.shared import new_folder
 
 TWO, THREE = ("shard-a", "shard-b"), ("shard-a", "shard-b", "shard-c")
 OLD, NEW = rg.Ring(TWO, 8), rg.Ring(THREE, 8)
@@ -214,7 +214,7 @@ def follower_reads(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_LATEST} SELECT key, value FROM latest WHERE op = 'put'")
 def wal_replay(spark: SparkSession, d: str) -> DataFrame:
     """The changes appended to a log in two parts, the later one first, replayed, and written as a table that is reopened."""
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "store")
     wal = sh.Wal(spark, f"{folder}/wal")
     changes = _changes(spark, d)
     for late in (True, False):
@@ -229,7 +229,7 @@ _MOVED = f"{_KEYS}, {sql.ring(THREE, 8, 'ring3')}"
 @query(f"WITH {_MOVED} SELECT r.shard_id, r.key, r.value FROM {sql.routed('keys', 'ring3')} r WHERE r.key NOT LIKE '%:click_count'")
 def routed_store(spark: SparkSession, d: str) -> DataFrame:
     """Cells written to two shards, some deleted, then a third shard added: what each shard holds."""
-    store = sh.ShardedStore(spark, f"{shared_folder(spark)}/store", OLD)
+    store = sh.ShardedStore(spark, f"{new_folder(spark, "store")}/store", OLD)
     cells = _cells(spark, d)
     store.write(cells)
     store.write(cells.where("key like '%:click_count'").select("key", F.lit(None).cast("string").alias("value")))

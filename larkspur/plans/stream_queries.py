@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.store import Table
 from ..sources.events import EventLog, table_events
+from ..sources.shared import new_folder
 from ..streaming.processor import process_available, stream_features
 from ..operators.features import rounded
 from . import sql
@@ -17,23 +15,9 @@ from .registry import query
 from .rounded import value_text
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or _own_folder(sc.master)
-    return f"{shared}/stream-{uuid.uuid4().hex}"
-
-
-def _own_folder(master: str) -> str:
-    """Only a local session may do without a shared folder."""
-    if not master.startswith("local[") and master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="larkspur-")
-
-
 def _logged(spark: SparkSession, d: str, parts: int = 3) -> tuple[EventLog, str]:
     """The events as a log of several appends."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     log = EventLog(spark, f"{folder}/log")
     records = table_events(spark, d).select(F.col("pos").alias("offset"), F.struct("user_id", "event_type", "amount", "timestamp").alias("event"))
     for k in range(parts):
