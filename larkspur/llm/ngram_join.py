@@ -249,17 +249,20 @@ def by_block(rows: DataFrame, columns: list[str], found: Callable[[list[tuple]],
     return map_batches(held.select(*columns), run, schema)
 
 
-def search_blocks(members: DataFrame, own: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """members (held, doc_id, label, query) -> links (a, b) found among those of each value of held.
-
-    Texts are fetched only for members that the bitmap filter lets through.
-    """
+def in_reach_members(members: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Those of members (held, doc_id, label, query) that the bitmap filter lets through, among those of each value of held."""
 
     def alive(group: list[tuple]) -> list[tuple]:
         _, _, labels, asks, n, bits = zip(*group, strict=True)
         keep = in_reach(list(bits), np.array(n), np.array(labels), np.array(asks), percent)
         return [row[:4] for row, k in zip(group, keep.tolist(), strict=True) if k]
 
+    return by_block(members.join(own.select("doc_id", "n", "bits").hint("merge"), "doc_id"), [*MEMBERS, "n", "bits"], alive, MEMBER)
+
+
+def block_links(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """members (held, doc_id, label, query, text) -> links (a, b) found among those of each value of held."""
+
     def found(group: list[tuple]) -> list[tuple]:
         _, ids, labels, asks, texts = zip(*group, strict=True)
         sets = [shingle_set(t or b"", size) for t in texts]
@@ -267,8 +270,7 @@ def search_blocks(members: DataFrame, own: DataFrame, docs: DataFrame, size: int
         pairs = divide_skip(sets, percent, list(labels), None if len(asking) == len(ids) else asking)
         return [(ids[a], ids[b]) for a, b in pairs]
 
-    left = checkpoint(by_block(members.join(own.select("doc_id", "n", "bits").hint("merge"), "doc_id"), [*MEMBERS, "n", "bits"], alive, MEMBER))
-    return by_block(left.join(docs.select("doc_id", "text").hint("merge"), "doc_id"), [*MEMBERS, "text"], found, "a bigint, b bigint")
+    return by_block(members, [*MEMBERS, "text"], found, "a bigint, b bigint")
 
 
 def list_pairs(tokens: DataFrame, percent: int) -> DataFrame:
@@ -409,9 +411,13 @@ def representative_links(docs: DataFrame, signed: DataFrame, classes: DataFrame,
     wide = blocks.where("blocks > 1")
     placed = joined.join(wide, "pivot", "left").select("pivot", F.expr("cast(pmod(xxhash64(doc_id), coalesce(blocks, 1)) as int)").alias("block"), "doc_id")
     pivots = blocks.select("pivot", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("pivot").alias("doc_id"))
-    members = placed.unionByName(pivots)
-    links = checkpoint(search_blocks(members.select(F.xxhash64("pivot", "block").alias("held"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("query")), own, docs, size, percent))
+    members = placed.unionByName(pivots).select(F.xxhash64("pivot", "block").alias("held"), "doc_id", F.col("doc_id").alias("label"), F.lit(True).alias("query"))
     wide = checkpoint(wide)
+    near = checkpoint(in_reach_members(members, own, percent))
+    # all texts are shuffled once: for the members of this round, and (without held) for those that may be in the next
+    later = joined.join(wide, "pivot").select("doc_id").union(wide.select("pivot")).distinct()
+    fetched = checkpoint(near.unionByName(later, allowMissingColumns=True).join(docs.select("doc_id", "text").hint("merge"), "doc_id"))
+    links = checkpoint(block_links(fetched.where("held is not null"), size, percent))
     if wide.isEmpty():
         return links
     labels = connected_components(links).withColumnRenamed("vertex", "doc_id").withColumnRenamed("component", "label")
@@ -422,8 +428,9 @@ def representative_links(docs: DataFrame, signed: DataFrame, classes: DataFrame,
     crowded = checkpoint(crowded.join(mixed, "pivot").join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")))
     if crowded.isEmpty():
         return links
-    again = paired_blocks(crowded, docs, size, percent)
-    return links.unionByName(checkpoint(search_blocks(again, own, docs, size, percent)))
+    texts = fetched.where("held is null").select("doc_id", "text")
+    again = checkpoint(in_reach_members(paired_blocks(crowded, texts, size, percent), own, percent))
+    return links.unionByName(checkpoint(block_links(again.join(texts.hint("merge"), "doc_id"), size, percent)))
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
