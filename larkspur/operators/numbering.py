@@ -32,7 +32,7 @@ def numbered(df: DataFrame, order: Sequence[str], column: str, by: Sequence[str]
     Rows are parted by bounds in that order. A bucket's rows are numbered by themselves and the counts of the buckets
     before are added. The bounds come from a sample, but they only balance the work: numbers are exact whatever they are. Groups
     should be few, as the counts (one row for each bucket and group) are broadcast. Rows that are equal in the order get
-    numbers in any order, so it should end in a unique column.
+    numbers in any order, so it should end in a unique column. Names that begin with _numbering_ are its own.
     """
     own = Window.partitionBy(*by)
     names = [*by, *order]
@@ -43,18 +43,18 @@ def numbered(df: DataFrame, order: Sequence[str], column: str, by: Sequence[str]
     kinds = [df.schema[n].dataType for n in names]
     as_key = lambda values: F.struct(*[v.alias(f"k{i}") for i, v in enumerate(values)])
     limits = [as_key([F.lit(v).cast(k) for v, k in zip(b, kinds, strict=True)]) for b in bounds]
-    placed = df.withColumn("_bucket", _bucket(as_key([F.col(n) for n in names]), limits, 0, len(limits)))
-    keys = [F.col(b).alias(f"_by{i}") for i, b in enumerate(by)]
-    groups = [f"_by{i}" for i in range(len(by))]
-    counts = placed.groupBy(*keys, F.col("_bucket").alias("_at")).agg(F.count("*").alias("_rows"))
+    placed = df.withColumn("_numbering_bucket", _bucket(as_key([F.col(n) for n in names]), limits, 0, len(limits)))
+    keys = [F.col(b).alias(f"_numbering_by{i}") for i, b in enumerate(by)]
+    groups = [f"_numbering_by{i}" for i in range(len(by))]
+    counts = placed.groupBy(*keys, F.col("_numbering_bucket").alias("_numbering_at")).agg(F.count("*").alias("_numbering_rows"))
     all_of = Window.partitionBy(*groups)
-    before = F.sum("_rows").over(all_of.orderBy("_at")) - F.col("_rows")
-    offsets = F.broadcast(counts.select(*groups, "_at", before.alias("_before"), F.sum("_rows").over(all_of).alias("_total")))
-    same = F.col("_bucket") == F.col("_at")
+    before = F.sum("_numbering_rows").over(all_of.orderBy("_numbering_at")) - F.col("_numbering_rows")
+    offsets = F.broadcast(counts.select(*groups, "_numbering_at", before.alias("_numbering_before"), F.sum("_numbering_rows").over(all_of).alias("_numbering_total")))
+    same = F.col("_numbering_bucket") == F.col("_numbering_at")
     for b, g in zip(by, groups, strict=True):
         same &= F.col(b).eqNullSafe(F.col(g))
-    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order))
-    out = placed.withColumn("_inside", inside).join(offsets, same).withColumn(column, (F.col("_before") + F.col("_inside")).cast("bigint"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_numbering_bucket").orderBy(*order))
+    out = placed.withColumn("_numbering_inside", inside).join(offsets, same).withColumn(column, (F.col("_numbering_before") + F.col("_numbering_inside")).cast("bigint"))
     if total is not None:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_bucket", "_at", "_rows", "_before", "_total", "_inside", *groups)
+        out = out.withColumn(total, F.col("_numbering_total"))
+    return out.drop("_numbering_bucket", "_numbering_at", "_numbering_rows", "_numbering_before", "_numbering_total", "_numbering_inside", *groups)

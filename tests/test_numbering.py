@@ -23,10 +23,10 @@ def test_many_buckets(spark, monkeypatch):
     for by, order in (((), ("t", "pos")), (("g",), ("text", "t", "pos")), ((), ("pos",))):
         assert len(numbering._bounds(df, [*by, *order])) == 7
         want, sizes = expected(rows, by, order)
-        got = numbered(df, order, "n", by=by, total="of").collect()
-        assert {r.pos: r.n for r in got} == want and len(got) == 2000
-        assert all(r["of"] == sizes[tuple(r[c] for c in by)] for r in got)
-        assert got[0].asDict().keys() == {"g", "t", "pos", "text", "n", "of"}
+        got = numbered(df, order, "_at", by=by, total="_of").collect()
+        assert {r.pos: r["_at"] for r in got} == want and len(got) == 2000
+        assert all(r["_of"] == sizes[tuple(r[c] for c in by)] for r in got)
+        assert got[0].asDict().keys() == {"g", "t", "pos", "text", "_at", "_of"}
 
 
 def test_equal_rows_and_empty(spark, monkeypatch):
@@ -40,4 +40,4 @@ def test_no_task_sorts_all(spark, monkeypatch):
     monkeypatch.setattr(numbering, "EACH", 5)
     df = numbered(spark.range(1000).withColumnRenamed("id", "pos"), ["pos"], "n")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_bucket" in plan
+    assert "hashpartitioning(_numbering_bucket" in plan
