@@ -10,7 +10,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, scratch
@@ -60,29 +60,33 @@ def smoothed(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (dimensions, base) -> with weight, whose margins are the targets (dimension, target) of the total.
 
-    Values of a margin without a target get weight 0. Each step is an aggregate by one margin, joined back. After every
-    `rounds` rounds the margins are compared with their targets. Where no weights of these cells meet all targets (say, if
-    each source has a language of its own), raking ends once the largest error no longer falls by a tenth: the last margin
-    holds, the others as nearly as they got, and a warning names the error.
+    Values of a margin without a target get weight 0. The targets are joined to the cells once; each step then divides by
+    sums over windows of one margin, so a round is three small shuffles and no join. After every `rounds` rounds the margins
+    are compared with their targets. Where no weights of these cells meet all targets (say, if each source has a language of
+    its own), raking ends once the largest error no longer falls by a tenth: the last margin holds, the others as nearly as
+    they got, and a warning names the error.
     """
-    total = float(cells.agg(F.sum("base").alias("t")).first().t or 0)
-    out = checkpoint(cells.withColumn("weight", F.col("base").cast("double")))
+    goals = {d: f"mix_goal_{d}" for d in targets}
+    total = F.broadcast(cells.agg(F.sum("base").cast("double").alias("mix_total")))
+    out = cells.withColumn("weight", F.col("base").cast("double")).crossJoin(total)  # one row
+    for d, target in targets.items():
+        out = out.join(target.select(d, F.col("target").alias(goals[d])), d, "left").withColumn(goals[d], F.coalesce(F.col(goals[d]) * F.col("mix_total"), F.lit(0.0)))
+    out = checkpoint(out.drop("mix_total"))
     before = float("inf")
     while True:
         for _ in range(rounds):
-            for dimension, target in targets.items():
-                sums = out.groupBy(dimension).agg(F.sum("weight").alias("now"))
-                factor = sums.join(target, dimension, "left").select(dimension, F.expr(f"if(now > 0, coalesce(target, 0D) * {total}D / now, 0D)").alias("factor"))
-                out = out.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-            out = checkpoint(out)
-        off = [out.groupBy(d).agg(F.sum("weight").alias("now")).join(t, d).select(F.expr(f"if(target > 0, abs(now / (target * {total}D) - 1), 0D)").alias("off")) for d, t in targets.items()]
+            for d, goal in goals.items():
+                now = F.sum("weight").over(Window.partitionBy(d))
+                out = out.withColumn("weight", F.when(now > 0, F.col("weight") * (F.col(goal) / now)).otherwise(0.0))
+        out = checkpoint(out)
+        off = [out.where(F.col(goal) > 0).groupBy(d).agg((F.abs(F.sum("weight") / F.first(goal) - 1)).alias("off")).select("off") for d, goal in goals.items()]
         worst = reduce(DataFrame.union, off).agg(F.max("off").alias("off")).first().off or 0.0
-        if worst <= tolerance:
-            return out
-        if worst > 0.9 * before:
-            warnings.warn(f"no weights meet all targets: a margin is off by a share of {worst:.3g}", stacklevel=2)
-            return out
+        if worst <= tolerance or worst > 0.9 * before:
+            break
         before = worst
+    if worst > tolerance:
+        warnings.warn(f"no weights meet all targets: a margin is off by a share of {worst:.3g}", stacklevel=2)
+    return out.drop(*goals.values())
 
 
 def mixing_weights(rows: DataFrame, power: float = 0.8, rounds: int = ROUNDS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
